@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, token_output
+from tessera.llm import decontamination, fingerprints, language_id, near_dedup, token_output
 from tessera.llm._shared import read_table
 
 
@@ -18,17 +19,40 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return os.environ.get("TESSERA_TOKENIZER", public_tokenizers.path(name))
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_output.write_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return token_output.read_digests(manifest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_piecewise_fingerprints, op10_token_files)}
+    return {f.__name__: f for f in (op1_language_mixture, op3_piecewise_fingerprints, op6_benchmark_phrases, op8_near_duplicates, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
