@@ -1,4 +1,62 @@
-"""A corpus pipeline of five stages, each written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages, each written as Parquet and read again by the next.
 
-STAGES: list = []
+Languages are identified and unidentifiable documents go; one document of each near-duplicate group stays;
+documents with benchmark passages go; the rest is mixed to target weights; the result is written as token ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, language_id, mixing, near_dedup, token_output
+from tessera.llm._shared import materialize, read_table
+from tessera.llm.queries import DOMAINS, TARGETS, tokenizer_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or without a language that has half of the text, go; a missing lang is filled in."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8 or more; the smallest id of a group stays."""
+    return near_dedup.keep_one_of_each(docs, shingle=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with any ten consecutive words of a benchmark item go."""
+    found = decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0")
+    found = materialize(found.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h")).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Domain weights are met by repeating documents, never by dropping one."""
+    members = mixing.posteriors(docs, read_table(spark, sf_dir, "labels"), DOMAINS)
+    rated, _, _ = mixing.fit_rates(members, list(TARGETS.values()), least=1.0)
+    return mixing.mix(docs, rated)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the files and reads each document's digest back from them."""
+    return token_output.read_digests(token_output.write_documents(docs, tokenizer_path(), end_id=2))
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("token_output", token_ids),
+]
+
+#: Mixture inference, minimum hashing and tokenizers have no SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

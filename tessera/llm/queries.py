@@ -8,9 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, language_id, near_dedup, token_output
+from tessera.llm import decontamination, fingerprints, language_id, mixing, near_dedup, token_output, toxicity
 from tessera.llm._shared import read_table
 
+#: Domains of the mixture, by the columns of ``labels``, and their target weights.
+DOMAINS = {
+    "toxic": "toxic = 1",
+    "low": "toxic = 0 and quality = 0",
+    "good": "toxic = 0 and quality = 1",
+}
+TARGETS = {"toxic": 0.1, "low": 0.15, "good": 0.75}
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """A file of the public vocabularies installed beside the library (never copied here)."""
@@ -26,6 +34,14 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    members = mixing.posteriors(docs, read_table(spark, sf_dir, "labels"), DOMAINS)
+    rated, _, _ = mixing.fit_rates(members, list(TARGETS.values()))
+    shares = (F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(DOMAINS))
+    return rated.select("doc_id", "row_hash", "n_tokens", *shares, "rate", mixing.copies(F.col("rate"), F.col("doc_id"), F.col("row_hash")).alias("copies"))
+
+
 def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
 
@@ -46,13 +62,26 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    categories = {"low_quality": "quality = 0", "toxicity": "toxic = 1"}
+    chain = toxicity.fit_chain(docs, read_table(spark, sf_dir, "labels"), categories)
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("toxicity") >= 0.5)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_output.write_documents(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return token_output.read_digests(manifest)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op3_piecewise_fingerprints, op6_benchmark_phrases, op8_near_duplicates, op10_token_files)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_soft_mixing, op3_piecewise_fingerprints, op6_benchmark_phrases, op8_near_duplicates, op9_toxicity_chain, op10_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
