@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, language_id, mixing, near_dedup, token_output, toxicity
+from tessera.llm import decontamination, fingerprints, language_id, mixing, near_dedup, substring_index, token_output, toxicity
 from tessera.llm._shared import read_table
 
 #: Domains of the mixture, by the columns of ``labels``, and their target weights.
@@ -58,6 +58,11 @@ def op6_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_index.remove_repeats(read_table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_groups(read_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -81,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_soft_mixing, op3_piecewise_fingerprints, op6_benchmark_phrases, op8_near_duplicates, op9_toxicity_chain, op10_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_soft_mixing, op3_piecewise_fingerprints, op6_benchmark_phrases, op7_repeated_substrings, op8_near_duplicates, op9_toxicity_chain, op10_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
