@@ -6,10 +6,13 @@
    round. All elements of a chunk of documents take a round together.
 2. *Classes.* Documents of equal sets (equal size and 128 bits of digest) become one class, represented by the
    smallest id: thousands of copies cost one row from here on.
-3. *Banding.* A bucket is a band of equal slots. In each bucket every class is tried against one hub (first the
-   smallest id, then a hub drawn per bucket), then all classes of a bucket that are still in different components
-   are tried against each other. Classes already connected need no test, so a bucket of ``k`` near copies costs
-   about ``k`` tests instead of ``k * k``; no bucket is capped and no pair that could join two components is left.
+3. *Banding.* A bucket is a band of equal slots. In each bucket every class is tried against one hub: the class
+   that meets most others over all bands, which in a group of near copies is one close to their origin. Classes
+   that are now connected need no more tests. For buckets that still hold several components, each class gets a
+   bitmap of its shingles: those whose bit another class lacks are surely not shared, which bounds the intersection
+   from above, so a pair far below the similarity is settled exactly inside the join. What is left is tried against
+   hubs drawn for each bucket, and then each remaining pair of different components is tried. No bucket is capped
+   and no pair that could join two components is left out.
 4. *Verification.* Exact similarity of the full shingle sets from whole texts, streamed by hub; a hub with many
    members is dealt over several tasks.
 5. *Components* of the verified links (``components.py``).
@@ -110,18 +113,18 @@ def signature_table(docs: DataFrame, shingle: int = 5, slots: int = 96, rows: in
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def verify_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, per_task: int = 256) -> DataFrame:
+def verify_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, per_task: int = 256) -> DataFrame:
     """Of the pairs (u, v), those whose full shingle sets have ``100 * intersection >= percent * union``.
 
-    Each u is a hub; its members are dealt over as many salts as it takes to have about ``per_task`` in each.
+    ``texts``: (id, text). Each u is a hub; its members are dealt over as many salts as it takes to have about
+    ``per_task`` in each, and a task streams a hub and its members in order.
     """
     sizes = pairs.groupBy("u").agg(F.ceil(F.count("*") / per_task).alias("salts"))
     dealt = pairs.join(sizes, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("salts")).alias("salt"))
     asked = dealt.select("u", "salt", F.lit(1).alias("member"), F.col("v").alias("id")).union(
         dealt.select("u", "salt", F.lit(0).alias("member"), F.col("u").alias("id")).distinct()
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    rows = asked.join(texts, "id").repartition("u", "salt").sortWithinPartitions("u", "salt", "member")
+    rows = texts.join(asked.hint("merge"), "id").repartition("u", "salt").sortWithinPartitions("u", "salt", "member")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, set()
@@ -145,6 +148,31 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int,
     return rows.select("u", "salt", "member", "id", "text").mapInArrow(run, "u long, v long")
 
 
+def shingle_bits(texts: DataFrame, shingle: int, bits: int = 4096) -> DataFrame:
+    """(rep, bits): a bitmap of the shingles of each class of ``texts`` (id, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, all_texts in flat_batches(batches):
+            for i in range(0, len(all_texts), 1024):
+                part = all_texts[i : i + 1024]
+                hashes, offsets, _ = byte_words(part, SPACE, LOWER)
+                values, owner = shingles(hashes, offsets, shingle)
+                marks = np.zeros((len(part), bits), np.uint8)
+                marks[owner, (values >> np.uint64(20)).astype(np.int64) % bits] = 1
+                longs = np.packbits(marks, axis=1, bitorder="little").view(np.int64)
+                rows = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * longs.shape[1], pa.array(longs.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), rows], ["rep", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, bits array<long>")
+
+
+def _may_reach(percent: int) -> str:
+    """SQL: whether bitmaps leave it open that a class and its hub have the similarity."""
+    lost = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x & ~y)), 0, (s, v) -> s + v)"
+    both = f"least(n - {lost('bits', 'hub.bits')}, hub.n - {lost('hub.bits', 'bits')})"
+    return f"(100 + {percent}) * {both} >= {percent} * (n + hub.n)"
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, slots: int = 96, rows: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document; see the module's text.
 
@@ -155,33 +183,45 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes, "classes")
     members = classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
+    full = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     members = materialize(members.join(full, "bucket"), "buckets")
-    near = f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"
+    meets = members.groupBy("rep").agg(F.sum("k").alias("weight"))
+    members = materialize(members.join(meets, "rep").select("bucket", "rep", "n", "weight"), "weighted-buckets")
+    # whole texts of the classes that meet any other, taken out of the documents once
+    wanted = members.select(F.col("rep").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    texts = materialize(texts.join(wanted.hint("merge"), "id").dropDuplicates(["id"]) if repeats(docs) else texts.join(wanted.hint("merge"), "id"), "class-texts")
 
-    links = labels = tested = None
-    for step in ("smallest", "drawn", "rest"):
-        pool = members.withColumn("part", F.col("rep"))
+    labels = tested = None
+    low = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+    pool = members.select("bucket", "rep", "n", F.col("rep").alias("part"), "weight")
+    for step in ("central", "drawn", "rest"):
         if labels is not None:
-            pool = members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("part"))
+            parts = labels.select(F.col("node").alias("rep"), F.col("component").alias("p"))
+            pool = pool.join(parts, "rep", "left").withColumn("part", F.coalesce("p", "rep")).drop("p")
             open_ = pool.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("bucket")
-            pool = materialize(pool.join(open_, "bucket"), "open-buckets")
+            pool = materialize(pool.join(open_, "bucket").select(*pool.columns), "open-buckets")
+        if step == "drawn":
+            inside = pool.select(F.col("rep").alias("id")).distinct()
+            bits = materialize(shingle_bits(texts.join(inside.hint("merge"), "id", "left_semi"), shingle), "shingle-bits")
+            pool = pool.join(bits, "rep")
+        near = low("n", "hub.n") if step == "central" else f"{low('n', 'hub.n')} and {_may_reach(percent)}"
+        fields = [c for c in pool.columns if c not in ("bucket", "weight")]
         if step == "rest":
-            hub = pool.select("bucket", F.struct("rep", "n", "part").alias("hub"))
-            found = pool.join(hub, "bucket").where(f"part <> hub.part and rep > hub.rep and {near}")
+            found = pool.join(pool.select("bucket", F.struct(*fields).alias("hub")), "bucket").where(f"part <> hub.part and rep > hub.rep and {near}")
         else:
-            by = F.col("rep") if step == "smallest" else F.xxhash64("rep", "bucket")
-            hub = pool.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "part"), by).alias("hub"))
+            by = F.struct("weight", -F.col("rep")) if step == "central" else F.xxhash64("rep", "bucket")
+            hub = pool.groupBy("bucket").agg(F.max_by(F.struct(*fields), by).alias("hub"))
             found = pool.join(hub, "bucket").where(f"part <> hub.part and {near}")
-        pairs = found.select(F.least("rep", "hub.rep").alias("u"), F.greatest("rep", "hub.rep").alias("v")).distinct()
+        pairs = found.select(F.col("hub.rep").alias("u"), F.col("rep").alias("v")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+            both = tested.union(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            pairs = pairs.join(both, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.isEmpty():
             tested = pairs if tested is None else tested.union(pairs)
-            new = verify_pairs(pairs, docs, shingle, percent)
-            links = new if labels is None else new.union(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
-            labels = connected_components(links)
+            new = verify_pairs(pairs, texts, shingle, percent)
+            labels = connected_components(new if labels is None else new.union(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     reps = classes.select("set_a", "set_b", "n_shingles", "rep")
     if labels is not None:
         reps = reps.join(labels, reps.rep == labels.node, "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("rep"))
@@ -190,6 +230,11 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def repeats(docs: DataFrame) -> bool:
+    """Whether any doc_id is on several rows."""
+    return not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
+
+
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near duplicates: of each group the row of the smallest id stays, once."""
     groups = near_duplicate_groups(docs, **options)
