@@ -26,8 +26,8 @@ from tessera.llm._shared import materialize
 from tessera.llm.decontamination import words_of
 
 
-def classifier(docs: DataFrame, labelled: DataFrame, domains: dict[str, str], fit_rows: int, buckets: int, smoothing: float) -> tuple[DataFrame, list[float], list[float]]:
-    """(log probabilities by bucket, log prior, log probability of a bucket that was never seen)."""
+def classifier(docs: DataFrame, labelled: DataFrame, domains: dict[str, str], fit_rows: int, buckets: int, smoothing: float) -> tuple[DataFrame, list[float]]:
+    """(log probabilities by bucket, for all ``buckets`` and an empty one, log prior)."""
     kind = F.coalesce(*(F.when(F.expr(c), F.lit(k)) for k, c in enumerate(domains.values())))
     rows = labelled.select(F.col("doc_id").alias("_id"), kind.alias("_k")).where("_id is not null and _k is not null").orderBy(F.xxhash64("_id"), "_id", "_k").limit(fit_rows)
     found = docs.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("_k", F.explode(words_of("text")).alias("w"))
@@ -38,21 +38,28 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: dict[str, str], fi
     size, n = range(len(domains)), sum(rows_of.values())
     prior = [math.log((rows_of.get(k, 0) + 1) / (n + len(domains))) for k in size]
     low = [math.log(total.get(k, 0) + smoothing * buckets) for k in size]
-    table = counts.groupBy("bucket").agg(*(F.log(F.coalesce(F.sum(F.when(F.col("_k") == k, F.col("n"))), F.lit(0)) + smoothing).alias(f"l{k}") for k in size))
-    table = table.select("bucket", *((F.col(f"l{k}") - low[k]).alias(f"l{k}") for k in size))
-    return table, prior, [math.log(smoothing) - low[k] for k in size]
+    seen = counts.groupBy("bucket").agg(*(F.sum(F.when(F.col("_k") == k, F.col("n"))).alias(f"n{k}") for k in size))
+    table = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(seen, "bucket", "left")
+    table = table.select("bucket", *((F.log(F.coalesce(f"n{k}", F.lit(0)) + smoothing) - low[k]).alias(f"l{k}") for k in size))
+    # a document's end counts as a word that says nothing
+    ends = docs.sparkSession.range(1).select(F.lit(-1).cast("long").alias("bucket"), *(F.lit(0.0).alias(f"l{k}") for k in size))
+    return table.union(ends), prior
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: dict[str, str], fit_rows: int = 4000, buckets: int = 1 << 13, smoothing: float = 0.5, evidence: float = 50.0) -> DataFrame:
     """(doc_id, row_hash, n_tokens, p array) of every document, stored in the shared folder."""
-    table, prior, unseen = classifier(docs, labelled, domains, fit_rows, buckets, smoothing)
+    table, prior = classifier(docs, labelled, domains, fit_rows, buckets, smoothing)
     size = range(len(domains))
-    words = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), F.explode_outer(words_of("text")).alias("w"))
-    words = words.withColumn("bucket", F.pmod(F.xxhash64("w"), F.lit(buckets))).join(F.broadcast(table), "bucket", "left")
-    sums = words.groupBy("doc_id", "row_hash").agg(F.count("w").alias("n_words"), F.count("*").alias("n"), *(F.sum(F.when(F.col("w").isNotNull(), F.coalesce(f"l{k}", F.lit(unseen[k])))).alias(f"s{k}") for k in size))
-    # rows that repeat a document were summed together: weights are shares, so each row's share is the same
-    scale = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("n_words"), F.lit(1)))
-    logs = [F.coalesce(F.col(f"s{k}"), F.lit(0.0)) * scale + prior[k] for k in size]
+    # an empty word ends each document, so documents without words have a row, and repeated rows can be counted
+    words = F.array_append(F.coalesce(words_of("text"), F.array().cast("array<string>")), "")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), words.alias("words")).select("doc_id", "row_hash", F.explode("words").alias("w"))
+    rows = rows.select("doc_id", "row_hash", F.when(F.col("w") == "", -1).otherwise(F.pmod(F.xxhash64("w"), F.lit(buckets))).cast("long").alias("bucket"))
+    last = len(domains) - 1
+    rows = rows.join(F.broadcast(table.select("bucket", *((F.col(f"l{k}") - F.col(f"l{last}")).alias(f"l{k}") for k in size[:-1]))), "bucket")
+    sums = rows.groupBy("doc_id", "row_hash").agg(F.count("*").alias("n"), F.count(F.when(F.col("bucket") < 0, 1)).alias("rows"), *(F.sum(f"l{k}").alias(f"s{k}") for k in size[:-1]))
+    sums = sums.withColumn("n_words", ((F.col("n") - F.col("rows")) / F.col("rows")).cast("long"))
+    scale = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("n_words"), F.lit(1))) / F.col("rows")
+    logs = [F.col(f"s{k}") * scale + (prior[k] - prior[last]) for k in size[:-1]] + [F.lit(0.0)]
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     weights = F.array(*(F.exp(x - top) for x in logs))
     out = sums.select("doc_id", "row_hash", F.col("n_words").alias("n_tokens"), weights.alias("w"))
