@@ -8,7 +8,8 @@ doc_id? Documents are whole texts as UTF-8 bytes.
    string can add on either side) of equal anchors can share a string. Anchors are dealt by hash and streamed in
    order of (anchor, context, doc_id): anchors of one document only are done with, and a context met in a smaller
    document is wholly repeated; the first occurrence of each context remains to be compared with the others.
-2. *Index.* Those contexts' bytes meet by anchor. A task builds, over blocks of whole anchor groups in doc_id order,
+2. *Index.* Those contexts' bytes meet by anchor; a context that shares neither half of a match's other bytes with
+   another document can't match and is left out. A task builds, over blocks of whole anchor groups in doc_id order,
    a Burrows-Wheeler transform of bounded context (suffixes ordered by their first ``length`` bytes, ties by
    document), run-length encodes it with runs cut where that prefix changes, and keeps the suffix at each end of
    each run. Streaming the contexts back gives each position's run, and by the run's class the document of its
@@ -138,59 +139,97 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class RunLengthIndex:
-    """A run-length encoded Burrows-Wheeler transform of bounded context, with the suffixes at run ends."""
+    """A run-length encoded Burrows-Wheeler transform of bounded context, with the suffixes at run ends.
 
-    def __init__(self, text: np.ndarray, length: int):
-        """``text``: bytes; contexts in document order, each ended by ``_END``."""
+    Suffixes of fewer than ``length`` bytes can't hold a match and are left out.
+    """
+
+    def __init__(self, text: np.ndarray, rest: np.ndarray, length: int):
+        """``text``: bytes of contexts in document order, each ended by ``_END``; ``rest``: bytes left in the context."""
         n = len(text)
-        padded = np.concatenate([text, np.full(length + 8, _END, np.uint8)])
-        key = np.zeros(n + length, np.uint64)
+        padded = np.concatenate([text, np.full(8, _END, np.uint8)])
+        key = np.zeros(n, np.uint64)
         for i in range(8):
-            key = (key << np.uint64(8)) | padded[i : i + n + length].astype(np.uint64)
-        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+            key = (key << np.uint64(8)) | padded[i : i + n].astype(np.uint64)
+        at = np.flatnonzero(rest >= min(8, length))
+        rank = np.zeros(n, np.uint64)
+        rank[at] = np.unique(key[at], return_inverse=True)[1]
         have = 8
         while have < length:
             step = min(have, length - have)
-            ahead = np.concatenate([rank[step:], np.full(step, rank[-1])])
-            rank = np.unique((rank << np.uint64(32)) | ahead, return_inverse=True)[1].astype(np.uint64)
+            at = np.flatnonzero(rest >= have + step)
+            pairs = (rank[at] << np.uint64(32)) | rank[at + step]
+            rank[at] = np.unique(pairs, return_inverse=True)[1]
             have += step
-        rank = rank[:n].astype(np.int64)
-        suffixes = np.argsort(rank, kind="stable")
-        ordered = rank[suffixes]
+        order = np.argsort(rank[at], kind="stable")
+        suffixes, ordered = at[order], rank[at][order]
         before = text[suffixes - 1]
-        fresh = np.ones(n, bool)
+        fresh = np.ones(len(at), bool)
         fresh[1:] = ordered[1:] != ordered[:-1]
         cut = fresh.copy()
         cut[1:] |= before[1:] != before[:-1]
         self.run_starts = np.flatnonzero(cut)
         self.run_bytes = before[self.run_starts]
         self.first_samples = suffixes[self.run_starts]
-        self.last_samples = suffixes[np.append(self.run_starts[1:], n) - 1]
+        self.last_samples = suffixes[np.append(self.run_starts[1:], len(at)) - 1] if len(at) else suffixes
         #: for each run the run that begins its class of equal prefixes
-        self.class_run = np.maximum.accumulate(np.where(fresh[self.run_starts], np.arange(len(self.run_starts)), 0))
-        self.places = np.empty(n, np.int64)
-        self.places[suffixes] = np.arange(n)
+        self.class_run = np.maximum.accumulate(np.where(fresh[self.run_starts], np.arange(len(self.run_starts)), 0)) if len(at) else self.run_starts
+        self.positions = at
+        self.places = np.empty(len(at), np.int64)
+        self.places[order] = np.arange(len(at))
 
     def first_match(self) -> np.ndarray:
-        """For each position, in order, the first position of the text with the same ``length`` bytes."""
+        """For each of ``positions``, in order, the first position of the text with the same ``length`` bytes."""
         runs = np.searchsorted(self.run_starts, self.places, side="right") - 1
         return self.first_samples[self.class_run[runs]]
 
 
-def _mark_block(docs: np.ndarray, at: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared_halves(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, h: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """Contexts whose anchor, with half of the other bytes of a match on its left or right, is in another document.
+
+    A match takes at least that half on one side, so no other context can have one.
+    """
+    half = (length - GRAM + 1) // 2
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, len(text)), out=total[1:])
+    inverse = _powers(_INVERSE, len(text) + 1)
+    keep = np.zeros(len(starts), bool)
+    for begin, fits in ((starts + left - half, left >= half), (starts + left + GRAM, sizes - left - GRAM >= half)):
+        some = np.flatnonzero(fits)
+        if not len(some):
+            continue
+        b = begin[some]
+        key = mix64(mix64((total[b + half] - total[b]) * inverse[b]) ^ h[some].view(np.uint64))
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        d = docs[some][order]
+        several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+        keep[some[order]] |= np.repeat(several, np.diff(np.append(first, len(d))))
+    return keep
+
+
+def _mark_block(h: np.ndarray, docs: np.ndarray, at: np.ndarray, left: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, at, size) of the stretches of contexts that smaller documents of the block repeat."""
-    order = np.argsort(docs, kind="stable")
-    docs, at, contexts = docs[order], at[order], [contexts[i] for i in order]
-    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts)) + 1
+    none = docs[:0], at[:0], docs[:0]
+    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    starts = np.cumsum(sizes) - sizes
+    keep = _shared_halves(np.frombuffer(b"".join(contexts), np.uint8), starts, sizes, left, h, docs, length)
+    order = np.flatnonzero(keep)
+    if not len(order):
+        return none
+    order = order[np.argsort(docs[order], kind="stable")]
+    docs, at, contexts, sizes = docs[order], at[order], [contexts[i] for i in order], sizes[order] + 1
     text = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8)
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(contexts)), sizes)
     place = np.arange(len(text)) - starts[owner]
-    first = RunLengthIndex(text, length).first_match()
-    hit = (place + length < sizes[owner]) & (docs[owner[first]] < docs[owner])
+    index = RunLengthIndex(text, sizes[owner] - 1 - place, length)
+    where = index.positions
+    hit = where[docs[owner[index.first_match()]] < docs[owner[where]]]
     p, o = place[hit], owner[hit]
     if not len(p):
-        return docs[:0], at[:0], docs[:0]
+        return none
     new = np.ones(len(p), bool)
     new[1:] = (o[1:] != o[:-1]) | (p[1:] > p[:-1] + length)
     begin = np.flatnonzero(new)
@@ -204,8 +243,8 @@ def _marks(rows: DataFrame, length: int, block_bytes: int) -> DataFrame:
         size = 0
 
         def flush(part: list[tuple]) -> pa.RecordBatch:
-            h, doc, at, ctx = zip(*part)
-            marked = _mark_block(np.array(doc, np.int64), np.array(at, np.int64), list(ctx), length)
+            h, doc, at, left, ctx = zip(*part)
+            marked = _mark_block(*(np.array(x, np.int64) for x in (h, doc, at, left)), list(ctx), length)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in marked], ["doc", "at", "size"])
 
         for b in batches:
@@ -214,7 +253,7 @@ def _marks(rows: DataFrame, length: int, block_bytes: int) -> DataFrame:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield flush(held)
 
@@ -247,18 +286,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 21
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for doc, packed, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = unpack.decompress(packed)
                 for x in asked:
                     p = x["at"] & ((1 << 40) - 1)
                     begin = max(0, p - (length - GRAM))
-                    for col, v in zip(out, (x["h"], doc, x["at"] - p + begin, raw[begin : p + length])):
+                    for col, v in zip(out, (x["h"], doc, x["at"] - p + begin, p - begin, raw[begin : p + length])):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["h", "doc", "at", "ctx"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], ["h", "doc", "at", "left", "ctx"])
 
     asked = found.where("kind = 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "h")).alias("asked"))
-    contexts = texts.join(asked.hint("merge"), ["doc", "tag"]).select("doc", "packed", "asked").mapInArrow(cut, "h long, doc long, at long, ctx binary")
+    contexts = texts.join(asked.hint("merge"), ["doc", "tag"]).select("doc", "packed", "asked").mapInArrow(cut, "h long, doc long, at long, left long, ctx binary")
     marks = _marks(contexts, length, block_bytes)
     # a stretch is packed as its start and, in the low 16 bits, its size; size 0: the whole context of an anchor
     spans = found.where("kind = 0").select("doc", "tag", F.shiftleft(F.col("at").bitwiseAND((1 << 40) - 1), 16).alias("s"))
