@@ -23,10 +23,13 @@ kept; repeated rows are each written; an empty table gives an empty manifest; ex
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize, new_path
+from tessera.llm._shared import chunks, materialize, new_path, string_list
 
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 INDEX_ENTRY = struct.Struct("<BqQQQ")
@@ -48,31 +51,48 @@ MANIFEST = "part int, path string, n_docs long, n_ids long, n_bytes long"
 class WordCache:
     """Ids of white-space separated pieces of text, by the tokenizers library.
 
-    The tokenizer drops white space before it splits and merges, so the ids of a text are those of its pieces one
-    after the other; a piece met before is not encoded again. Beyond ``limit`` pieces the memory starts anew.
-    Pieces must be separated by ASCII white space, which no token spans.
+    The tokenizer drops white space and case before it splits and merges, so the ids of a text are those of its
+    pieces one after the other, and a piece met before is not encoded again. ASCII marks between a letter or digit
+    and white space are a piece of their own, as the tokenizer's split always makes them one. Texts that hold ``<|``
+    may name special tokens, whose case counts, and keep their case. Pieces of lower-case Latin letters alone are one
+    part for the merges already: the same model encodes them without normalising and splitting. Beyond ``limit``
+    pieces the memory starts anew. One memory serves all tasks of a Python worker.
     """
 
-    def __init__(self, tokenizer_path: str, width: str, limit: int = 400_000):
+    _OF_WORKER: dict[tuple[str, str], "WordCache"] = {}
+    _MARKS = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \t\n\r\x0b\x0c]|$)")
+    _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+    def __init__(self, tokenizer_path: str, width: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.width, self.limit = Tokenizer.from_file(tokenizer_path), width, limit
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        pieces = text.encode("utf-8", "surrogatepass").split()
+    @classmethod
+    def of_worker(cls, tokenizer_path: str, width: str) -> WordCache:
+        if (tokenizer_path, width) not in cls._OF_WORKER:
+            cls._OF_WORKER[tokenizer_path, width] = cls(tokenizer_path, width)
+        return cls._OF_WORKER[tokenizer_path, width]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            raw = text.encode("utf-8", "surrogatepass")
+            split.append((raw if b"<|" in raw else self._MARKS.sub(rb" \1", raw.lower())).split())
         known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
         if len(known) > self.limit:
             known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype=self.width).tobytes()
-        return b"".join([known[p] for p in pieces])
+        new = set(chain.from_iterable(split)).difference(known)
+        kind = "H" if self.width == "<u2" else "I"  # machines of Spark's Arrow are little endian
+        plain = [p for p in new if self._LETTERS.fullmatch(p)]
+        for tokenizer, some in ((self.letters, plain), (self.tokenizer, list(new.difference(plain)))):
+            for p, e in zip(some, tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
+                known[p] = array(kind, e.ids).tobytes()
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
 
 
 class FrameWriter:
@@ -156,25 +176,26 @@ def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
+    from tokenizers import Tokenizer
+
+    width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(True), end_id + 1) <= 1 << 16 else "<u4"
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(path)
-        writer = sink = name = None
-        cache = None
+        writer = sink = name = cache = end = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts, ids_of = string_list(batch.column(1)), batch.column(0).to_pylist()
+            for i, j in chunks(texts, 1_000_000):
                 if writer is None:
-                    import tokenizers
-
-                    width = "<u2" if max(tokenizers.Tokenizer.from_file(tokenizer_path).get_vocab_size(True), end_id + 1) <= 1 << 16 else "<u4"
-                    cache = WordCache(tokenizer_path, width)
+                    cache = WordCache.of_worker(tokenizer_path, width)
                     end = np.array([end_id], dtype=width).tobytes()
                     part = TaskContext.get().partitionId()
                     fs.create_dir(folder, recursive=True)
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
                     sink = fs.open_output_stream(name, compression=None)
                     writer = FrameWriter(sink, width, frame_ids, level)
-                writer.add(doc_id, cache.encode(text or "") + end)
+                for doc_id, ids in zip(ids_of[i:j], cache.encode_all(texts[i:j])):
+                    writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             sink.close()
