@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, language_id, mixing, near_dedup, passages, substring_index, token_output, toxicity
+from tessera.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, passages, substring_index, token_output, toxicity
 from tessera.llm._shared import read_table
 
 #: Domains of the mixture, by the columns of ``labels``, and their target weights.
@@ -46,6 +46,10 @@ def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), order=2)
+
+
 def op5_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(read_table(spark, sf_dir, "documents"))
 
@@ -90,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_mixture, op2_soft_mixing, op3_piecewise_fingerprints, op5_near_passages, op6_benchmark_phrases, op7_repeated_substrings, op8_near_duplicates, op9_toxicity_chain, op10_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_language_mixture, op2_soft_mixing, op3_piecewise_fingerprints, op4_stupid_backoff, op5_near_passages, op6_benchmark_phrases, op7_repeated_substrings, op8_near_duplicates, op9_toxicity_chain, op10_token_files, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
