@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, language_id, mixing, near_dedup, token_output
-from tessera.llm._shared import materialize, read_table
+from tessera.llm._shared import free_names, materialize, read_table
 from tessera.llm.queries import DOMAINS, TARGETS, tokenizer_path
 
 
@@ -27,8 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any ten consecutive words of a benchmark item go."""
     found = decontamination.contamination(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    found = materialize(found.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h")).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    d, h = free_names(docs, "_d", "_h")
+    found = materialize(found.select(F.col("doc_id").alias(d), F.col("row_hash").alias(h)).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

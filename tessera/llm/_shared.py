@@ -32,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of ``df`` (ignoring case)."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -173,7 +173,7 @@ def score_documents(docs: DataFrame, order: int = 2, alpha: float = 0.4, batch_c
                     with np.errstate(divide="ignore", invalid="ignore"):
                         logs = np.where(seen, np.log(others[k] / context), np.where(missed, logs + math.log(alpha), logs))
                     backed = np.where(valid[k], missed, backed)
-                sums = np.bincount(owner, weights=logs, minlength=n_docs)
+                sums = np.bincount(owner, weights=logs, minlength=n_docs).astype(np.float64)
                 mean = pa.array(np.divide(sums, length, out=np.zeros(n_docs), where=length > 0), mask=length == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(length.astype(np.int64)), pa.array(sums), mean, pa.array(np.bincount(owner, weights=backed, minlength=n_docs).astype(np.int64))], ["doc_id", "n_words", "log_score", "mean_log", "n_backoff"])
 

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize
+from tessera.llm._shared import free_names, materialize
 from tessera.llm.decontamination import words_of
 
 
@@ -30,7 +30,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: dict[str, str], fi
     """(log probabilities by bucket, for all ``buckets`` and an empty one, log prior)."""
     kind = F.coalesce(*(F.when(F.expr(c), F.lit(k)) for k, c in enumerate(domains.values())))
     rows = labelled.select(F.col("doc_id").alias("_id"), kind.alias("_k")).where("_id is not null and _k is not null").orderBy(F.xxhash64("_id"), "_id", "_k").limit(fit_rows)
-    found = docs.join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("_k", F.explode(words_of("text")).alias("w"))
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("_id")).select("_k", F.explode(words_of("text")).alias("w"))
     counts = found.groupBy("_k", F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("n"))
     counts = materialize(counts, "word-counts")
     total = {r._k: r.n for r in counts.groupBy("_k").agg(F.sum("n").alias("n")).collect()}
@@ -124,7 +124,7 @@ def copies(rate: Column, *key: Column) -> Column:
 
 def mix(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Each document as often as its rate says; the columns of ``docs``."""
-    found = members.select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h"), copies(F.col("rate"), F.col("doc_id"), F.col("row_hash")).alias("_n"))
-    # a long window: one row a document on either side
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
-    return joined.where("_n > 0").withColumn("_i", F.explode(F.expr("sequence(1, _n)"))).select(docs.columns)
+    d, h, n, i = free_names(docs, "_d", "_h", "_n", "_i")
+    found = members.select(F.col("doc_id").alias(d), F.col("row_hash").alias(h), copies(F.col("rate"), F.col("doc_id"), F.col("row_hash")).alias(n))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)))
+    return joined.where(F.col(n) > 0).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)

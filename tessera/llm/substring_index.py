@@ -151,6 +151,7 @@ class RunLengthIndex:
         key = np.zeros(n, np.uint64)
         for i in range(8):
             key = (key << np.uint64(8)) | padded[i : i + n].astype(np.uint64)
+        key >>= np.uint64(8 * max(0, 8 - length))
         at = np.flatnonzero(rest >= min(8, length))
         rank = np.zeros(n, np.uint64)
         rank[at] = np.unique(key[at], return_inverse=True)[1]

@@ -10,7 +10,7 @@ so the choice does not depend on partitions); prediction streams every whole tex
 
 Defined results: null and blank texts have only shape features; labels that are null or whose document is missing
 are not used; a category whose training labels are all equal gets that constant rate; without training rows all
-probabilities are 0.
+probabilities are the least that the models give (0.0003).
 """
 
 from __future__ import annotations
