@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, passages, substring_index, token_output, toxicity
+from tessera.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, oracles, passages, substring_index, token_output, toxicity
 from tessera.llm._shared import read_table
 
 #: Domains of the mixture, by the columns of ``labels``, and their target weights.
@@ -47,7 +47,8 @@ def op3_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), order=2)
+    found = lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), order=2)
+    return found.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log")})
 
 
 def op5_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
