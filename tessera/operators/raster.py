@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,11 +111,16 @@ def rasterize_shapes(e: Element, low: tuple[float, float], high: tuple[float, fl
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """(id, _v): ids numbered from 1 in order, by ranks within hash-free range partitions and their offsets."""
-    ranged = df.select("id").repartitionByRange("id").withColumn("_p", F.spark_partition_id())
-    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("id")))
-    sizes = ranged.groupBy("_p").count().select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_o"))
-    return ranked.join(F.broadcast(sizes), "_p").select("id", (F.col("_r") + F.col("_o")).alias("_v"))
+    """(id, _v): ids numbered from 1 in order, by ranks within range partitions and the partitions' offsets.
+
+    The ranges are kept, so that ranks and offsets are of the same ones; only a count a partition reaches the driver.
+    """
+    ranged = df.select("id").repartitionByRange("id").withColumn("_p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = sorted((r._p, r["count"]) for r in ranged.groupBy("_p").count().collect())
+    offsets = dict(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    place = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv))[F.col("_p")] if len(offsets) > 1 else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("id"))
+    return ranged.select("id", (rank + place).cast("bigint").alias("_v"))
 
 
 def pick_scale(e: Element, size: dict[str, int], m: np.ndarray, low, high) -> int:
@@ -159,6 +166,11 @@ def rasterize(e: Element, low, high, axes: tuple[str, ...] = ("x", "y"), cs: str
     return rasterize_shapes(moved, lo, hi, n, value_key, labels or value_key is None)
 
 
+def rasterize_all(elements: dict[str, Element], low, high, axes: tuple[str, ...] = ("x", "y"), cs: str = GLOBAL, **size) -> dict[str, Element]:
+    """All elements that are in a coordinate system, over one box of it: vectors become images of counts or labels."""
+    return {f"{n}_rasterized_{'images' if e.kind in ('image', 'points') else 'labels'}": rasterize(e, low, high, axes, cs, **size) for n, e in elements.items() if cs in e.transforms}
+
+
 def rasterize_bins(t: Table, bins: Element, col_key: str, row_key: str, value_key: str | list[str] | None = None, as_labels: bool = False) -> Element:
     """A table over grid bins as an image: a channel for each variable (or obs column), or labels of the instances.
 

@@ -155,3 +155,16 @@ def test_tiles(spark):
     e = M.circles(spark.createDataFrame([(0, 5.0, 5.0, 1.0)], "id long, x double, y double, radius double"))
     r = P.instance_tiles(e, image).first()
     assert sorted((p.y, p.x, p.value) for p in r.pixels) == [(0, 0, 44), (0, 1, 45), (1, 0, 54), (1, 1, 55)]
+
+
+def test_many_elements(spark):
+    image = M.raster_from_array(spark, np.arange(16.0).reshape(1, 4, 4), ("c", "y", "x"))
+    pts = M.points(spark.createDataFrame([(0, -2.0, 0.5), (1, 6.0, 3.5)], "id long, x double, y double"))
+    box = M.polygons_from_lists(spark, [[[[(0, 0), (2, 0), (2, 2), (0, 2)]]]])
+    out = P.rasterize_all({"im": image, "pts": pts, "box": box}, (0, 0), (4, 4), width=2)
+    assert set(out) == {"im_rasterized_images", "pts_rasterized_images", "box_rasterized_labels"}
+    assert dense(out["im_rasterized_images"])[0].tolist() == [[5, 7], [13, 15]] and out["pts_rasterized_images"].df.count() == 0
+    assert dense(out["box_rasterized_labels"]).tolist() == [[1, 0], [0, 0]]
+    moved = P.transform_to_extent({"im": image, "pts": pts}, target_width=16)
+    assert [(r.x, r.y) for r in moved["pts"].df.orderBy("id").collect()] == [(0, 1), (16, 7)]
+    assert moved["im"].size() == {"y": 8, "x": 16} and moved["im"].df.where("value = 15").count() == 4
