@@ -6,7 +6,7 @@ else is aggregation and joins.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import accumulate
 
@@ -421,6 +421,23 @@ def instance_tiles(e: Element, image: Element, scale: float = 1.0, cs: str = GLO
     return hit.groupBy("instance_id", "minx", "miny", "maxx", "maxy").agg(F.collect_list(F.struct("c", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "value")).alias("pixels"))
 
 
+def tile_batches(tiles: DataFrame, channels: int, side: int, labels: DataFrame | None = None) -> Iterator[tuple[object, np.ndarray, dict]]:
+    """(instance, array of channels x side x side, its annotation) one after the other, a partition at a time.
+
+    ``tiles`` is what ``instance_tiles`` gives; tiles are cut or filled with 0 to ``side``. ``labels``: a frame with
+    ``instance_id`` whose other columns annotate.
+    """
+    if labels is not None:
+        tiles = tiles.join(labels, "instance_id", "left")
+    extra = [c for c in tiles.columns if c not in ("instance_id", "minx", "miny", "maxx", "maxy", "pixels")]
+    for r in tiles.toLocalIterator(prefetchPartitions=True):
+        out = np.zeros((channels, side, side))
+        for p in r["pixels"]:
+            if p["y"] < side and p["x"] < side:
+                out[p["c"], p["y"], p["x"]] = p["value"]
+        yield r["instance_id"], out, {c: r[c] for c in extra}
+
+
 def transform_to_extent(elements: dict[str, Element], cs: str = GLOBAL, target_width: int | None = None, unit_to_pixels: float | None = None) -> dict[str, Element]:
     """All elements moved and scaled so that their common extent begins at 0; rasters are resampled to it."""
     found = extent(elements, cs)

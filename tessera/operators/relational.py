@@ -170,7 +170,7 @@ def locate_values(key: str, e: Element | None = None, t: Table | None = None) ->
     return out
 
 
-def get_values(keys: str | list[str], e: Element | None = None, t: Table | None = None, name: str | None = None, layer: str | None = None) -> DataFrame:
+def get_values(keys: str | list[str], e: Element | None = None, t: Table | None = None, name: str | None = None, layer: str | None = None, arrays_as_are: bool = False) -> DataFrame:
     """(instance_id, a column for each key), from the element, the table's obs, its matrix, or an array column."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     found = {k: locate_values(k, e, t) for k in keys}
@@ -195,6 +195,8 @@ def get_values(keys: str | list[str], e: Element | None = None, t: Table | None
     if place == "obsm":
         if len(keys) > 1:
             raise ValueError("one array column at a time")
+        if arrays_as_are:
+            return obs.select(who, keys[0])
         n = obs.select(F.max(F.size(keys[0]))).first()[0] or 0
         return obs.select(who, *(F.get(keys[0], F.lit(i)).alias(f"{keys[0]}_{i}") for i in range(n)))
     return obs.select("obs_pos", who).join(matrix_columns(t, keys, layer), "obs_pos", "left").na.fill(0.0, keys).select("instance_id", *keys)

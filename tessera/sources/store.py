@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import warnings
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,15 @@ from tessera.transforms import from_dict
 
 #: Version of the layout of each kind; readers take all versions up to it.
 VERSIONS = {"dataset": 1, "points": 1, "shapes": 1, "image": 1, "labels": 1, "table": 1}
+@dataclass
+class Settings:
+    """Defaults of what is written: pixels along a tile, and the Parquet codec."""
+
+    tile: int = 256
+    compression: str = "zstd"
+
+
+settings = Settings()
 KINDS = ("points", "shapes", "image", "labels", "table")
 
 
@@ -132,9 +142,10 @@ def _meta(kind: str, v: Element | Table) -> dict:
     return {"kind": kind, "version": VERSIONS[kind], "transforms": {c: t.to_dict() for c, t in v.transforms.items()}, "circles": v.is_circles, "attrs": attrs}
 
 
-def write_element(spark: SparkSession, path: str, name: str, value: Element | Table, overwrite: bool = False, tile: int = 256, compression: str = "zstd") -> None:
+def write_element(spark: SparkSession, path: str, name: str, value: Element | Table, overwrite: bool = False, tile: int | None = None, compression: str | None = None) -> None:
     """Writes one element. An existing one is only replaced on demand, and never while ``value`` reads from it."""
     check_names([name])
+    tile, compression = settings.tile if tile is None else tile, compression or settings.compression
     if tile < 1:
         raise ValueError("a tile has one pixel at least")
     kind = "table" if isinstance(value, Table) else value.kind
