@@ -73,7 +73,7 @@ class Linear:
         return np.bincount(owner, weights=self.weights[bucket], minlength=len(dense)) + dense @ self.extra + self.bias
 
 
-def fit_linear(owner: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.ndarray, lasso: float = 2e-3, steps: int = 150) -> Linear:
+def fit_linear(owner: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.ndarray, lasso: float = 2.5e-4, steps: int = 150) -> Linear:
     """L1-penalised logistic regression by accelerated proximal gradient; balanced class weights."""
     n, k = dense.shape
     if n == 0 or y.min() == y.max():
@@ -125,7 +125,7 @@ class ToxicityChain:
         return out
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int = 6000, folds: int = 3) -> ToxicityChain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int = 12_000, folds: int = 3) -> ToxicityChain:
     """Fits the chain in the order of ``categories`` (name: SQL for a 0/1 value over ``labels``)."""
     names = [f"_y{i}" for i in range(len(categories))]
     rows = labels.select(F.col("doc_id").alias("_id"), *(F.expr(e).cast("int").alias(n) for n, e in zip(names, categories.values())))
