@@ -424,3 +424,26 @@ def test_frames():
     bad[6] ^= 1
     with pytest.raises((ValueError, zstandard.ZstdError)):
         token_output.FrameReader(io.BytesIO(bytes(bad))).ids(0)
+
+
+# -- streams that carry state from one Arrow batch to the next --------------------------------------------------------
+
+
+@pytest.fixture
+def small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_carried_state(small_batches, docs, texts):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in substring_index.remove_repeats(docs, block_bytes=500).collect()}
+    assert got == remove_by_force(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicate_groups(docs, shingle=2).collect()}
+    assert got == groups_by_force(texts, 2, 80)
+    got = table(passages.near_duplicate_passages(docs))
+    assert got[12].sources == [3] and set(got[14].sources) == {4, 6} and got[13].class_id == 11
+    got = table(fingerprints.fingerprint_neighbours(docs))
+    assert len(got) == len(texts) and got[3].fingerprint == got[12].fingerprint
