@@ -140,7 +140,8 @@ def held_out(col: str = "doc_id") -> "F.Column":
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose language cannot be told: no letters, or no language with ``least`` of the text.
 
-    The decision is taken row by row as texts stream by; a missing lang is filled in.
+    The decision is taken row by row as texts stream by; a missing lang is filled in. A model without languages (no
+    labelled rows) can only tell that a text has no letters.
     """
     schema = docs.schema
 
@@ -150,6 +151,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -
             at = batch.schema.get_field_index("lang")
             lang = [x if x is not None else f[0] for x, f in zip(batch.column(at).to_pylist(), found)]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(lang, pa.string()))
-            yield batch.filter(pa.array([f[0] != "und" and f[1] >= least for f in found]))
+            keep = [f[0] != "und" and f[1] >= least for f in found] if model.languages else [has_letter(t) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -190,7 +190,10 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
     # whole texts of the classes that meet any other, taken out of the documents once
     wanted = members.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    texts = materialize(texts.join(wanted.hint("merge"), "id").dropDuplicates(["id"]) if repeats(docs) else texts.join(wanted.hint("merge"), "id"), "class-texts")
+    texts = texts.join(wanted.hint("merge"), "id")
+    if repeats(docs):  # an id with several texts is one node, compared by the least of them
+        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "class-texts")
 
     labels = tested = None
     low = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
