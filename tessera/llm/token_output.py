@@ -63,7 +63,7 @@ class WordCache:
     _MARKS = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \t\n\r\x0b\x0c]|$)")
     _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
-    def __init__(self, tokenizer_path: str, width: str, limit: int = 1_000_000):
+    def __init__(self, tokenizer_path: str, width: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
