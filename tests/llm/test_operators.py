@@ -186,6 +186,31 @@ def test_passages(docs, texts, odd, empty):
     assert passages.near_duplicate_passages(odd).count() == 6 and passages.near_duplicate_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [49, 50, 51, 64, 79, 80])
+def test_windows_of_a_lone_document(n_words):
+    values, at, _ = passages.tokens([sentence(31, n_words)])
+    alone = passages.compact_windows(values, at, 46, 77)
+    values, at, _ = passages.tokens([sentence(31, n_words), sentence(32, 500)])
+    beside = passages.compact_windows(values, at, 46, 77)
+    assert (len(alone[0]) > 0) == (n_words >= 50)
+    # positions: a chunk numbers its entries, which only decides between equal hashes
+    assert [x.tolist() for x in alone] == [x[beside[0] == 0].tolist() for x in beside]
+
+
+def test_passages_of_lone_documents(spark):
+    rows = [(i, sentence(31, 50), None, None, None) for i in range(3)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), SCHEMA)
+    got = table(passages.near_duplicate_passages(docs))
+    assert [got[i].n_dup for i in range(3)] == [0, 50, 50] and all(r.class_id == 0 for r in got.values())
+
+
+def test_passages_of_an_id_with_several_texts(spark):
+    rows = [(1, sentence(31, 60)), (1, sentence(33, 200)), (2, sentence(31, 60)), (2, "short"), (3, sentence(34, 20) + " " + sentence(33, 200))]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).repartition(2)
+    got = passages.near_duplicate_passages(docs).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_dup) for r in got) == [(1, 60, 0), (1, 200, 0), (2, 1, 0), (2, 60, 60), (3, 220, 200)]
+
+
 # -- op6 ------------------------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
