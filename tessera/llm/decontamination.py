@@ -103,8 +103,9 @@ def proximity_matches(index: DataFrame, items: DataFrame, terms: int = 3, span:
     """(doc_id, row_hash, item, start, stop): stretches of at most ``span`` words that hold an item's rarest terms.
 
     An item takes part with its ``terms`` rarest distinct words that occur in the corpus at all (all, if it has
-    fewer). ``start`` is a position of the rarest, ``stop`` the last one of the stretch that begins there at the
-    earliest needed word.
+    fewer). Each place of the rarest word gives one row at most: the narrowest stretch around it, the first of equals.
+    Every position from which a stretch can reach the place is tried as its start, with each word's first position
+    from there on.
     """
     words = items.select(F.col("item_id").cast("string").alias("item"), F.explode(words_of("text")).alias("term")).where("item is not null").distinct()
     words = materialize(words, "item-terms")
@@ -117,6 +118,8 @@ def proximity_matches(index: DataFrame, items: DataFrame, terms: int = 3, span:
     first = posted.where("rank = 0").select("doc_id", "row_hash", "item", "k", F.col("pos").alias("at"), F.explode(F.expr("array(block - 1, block, block + 1)")).alias("block"))
     near = first.join(posted.select("doc_id", "row_hash", "item", "block", "pos", "rank"), ["doc_id", "row_hash", "item", "block"])
     near = near.where(f"abs(pos - at) < {span}")
-    per = near.groupBy("doc_id", "row_hash", "item", "k", "at", "rank").agg(F.min_by("pos", F.abs(F.col("pos") - F.col("at"))).alias("pos"))
-    whole = per.groupBy("doc_id", "row_hash", "item", "k", "at").agg(F.count("*").alias("n"), F.min("pos").alias("start"), F.max("pos").alias("stop"))
-    return whole.where(f"n = k and stop - start < {span}").select("doc_id", "row_hash", "item", "start", "stop")
+    whole = near.where("rank > 0 or pos = at").groupBy("doc_id", "row_hash", "item", "k", "at").agg(F.collect_set(F.struct("pos", "rank")).alias("near"))
+    firsts = "transform(filter(near, x -> x.pos <= at), y -> transform(sequence(0, k - 1), r -> array_min(transform(filter(near, x -> x.rank = r and x.pos >= y.pos), x -> x.pos))))"
+    whole = whole.withColumn("firsts", F.expr(f"filter({firsts}, f -> forall(f, z -> z is not null))"))
+    whole = whole.withColumn("best", F.expr("array_min(transform(firsts, f -> named_struct('width', array_max(f) - array_min(f), 'start', array_min(f), 'stop', array_max(f))))"))
+    return whole.where(f"best.width < {span}").select("doc_id", "row_hash", "item", "best.start", "best.stop")

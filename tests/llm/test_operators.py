@@ -246,6 +246,24 @@ def test_proximity(spark):
     assert {(r.doc_id, r.item, r.start, r.stop) for r in got} == {(1, "q", 0, 5), (3, "q", 0, 2)}
 
 
+def test_proximity_by_force(spark):
+    words = {1: ["x"] * 130, **{i: [("alpha", "beta", "gamma", "x", "x", "x", "x", "x")[zlib.crc32(f"{i}.{k}".encode()) % 8] for k in range(120)] for i in range(2, 6)}}
+    for at, w in ((100, "alpha"), (85, "beta"), (116, "beta"), (115, "gamma")):
+        words[1][at] = w
+    for span in (20, 5):
+        index = decontamination.build_index(spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string"))
+        bench = spark.createDataFrame([("q", "alpha beta gamma")], "item_id string, text string")
+        freq = {t: sum(w.count(t) for w in words.values()) for t in ("alpha", "beta", "gamma")}
+        rarest, want = min(freq, key=lambda t: (freq[t], t)), []
+        for i, w in words.items():
+            for at in (k for k, t in enumerate(w) if t == rarest):
+                fits = [(e - b, b, e) for b in range(max(0, at - span + 1), at + 1) for e in range(at, min(len(w), b + span)) if {"alpha", "beta", "gamma"} <= set(w[b : e + 1])]
+                want += [(i, *min(fits)[1:])] if fits else []
+        got = decontamination.proximity_matches(index, bench, terms=3, span=span).collect()
+        assert sorted((r.doc_id, r.start, r.stop) for r in got) == sorted(want)
+        assert span < 20 or (1, 100, 116) in want
+
+
 # -- op7 ------------------------------------------------------------------------------------------------------------
 
 
