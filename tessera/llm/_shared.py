@@ -7,8 +7,10 @@ Lineage is cut with tables written under ``spark.checkpoint.dir`` (never with
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a new one only if none is set (local mode)."""
+    """The folder that the driver and all executors share; a new one only if none is set, on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
@@ -48,14 +52,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: a checkpoint that survives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+_OPEN = threading.local()
+
+
+def _write(df: DataFrame, name: str, level: int) -> DataFrame:
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    scopes = getattr(_OPEN, "scopes", [])
+    if len(scopes) >= level:
+        scopes[-level].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: a checkpoint that survives executors."""
+    return _write(df, name, 1)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Removes the tables that ``materialize`` writes inside when it ends, also by an error.
+
+    Gives a function that stores a result beyond the end: it then belongs to the scope around this one, if any.
+    Spark's cleaner removes the files of shuffles that no plan refers to any more once the driver has collected its
+    garbage, so that is asked for too: on a long job they would otherwise stay on the disks for many steps.
+    """
+    if not hasattr(_OPEN, "scopes"):
+        _OPEN.scopes = []
+    paths: list[str] = []
+    _OPEN.scopes.append(paths)
+    try:
+        yield lambda df, name: _write(df, name, 2)
+    finally:
+        _OPEN.scopes.pop()
+        for path in paths:
+            drop_path(spark, path)
+        spark._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a folder made by ``new_path`` once no later plan reads it."""
     jvm = spark._jvm

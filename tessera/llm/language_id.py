@@ -7,11 +7,12 @@ labelled training documents with one aggregation.
 *Inference.* A document is a mixture of languages. Expectation-maximisation estimates the proportions from the
 trigram likelihoods. The set of languages is chosen by penalised likelihood: beginning with the best single
 language, the language that raises the likelihood most joins the set while the rise exceeds
-``penalty * log(number of trigrams)``. As the mixture of all candidates bounds what any set can reach, one estimate
-over all of them settles documents in one language.
+``penalty * log(number of trigrams)``. Every learned language can join. As the mixture of all of them bounds what any
+set can reach, one estimate over all of them settles documents in one language.
 
 Defined results: ``und`` with score 0 for null, blank or letterless texts and without training rows; ties go to
-the language first in order; repeated rows get equal results; other columns are ignored.
+the language first in order; repeated rows get equal results; very long texts are counted whole, in arrays of the
+size of a chunk; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,7 +57,6 @@ class LanguageModel:
     languages: list[str]
     probabilities: np.ndarray  # BUCKETS x languages
     penalty: float = 3.0
-    candidates: int = 8
     steps: int = 25
 
     def mixture(self, p: np.ndarray, c: np.ndarray, n: float, weights: np.ndarray) -> tuple[np.ndarray, float]:
@@ -72,14 +72,18 @@ class LanguageModel:
 
     def infer(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
         """(language, its proportion, all languages of the set, their proportions)."""
+        return self.explain(text)[:4]
+
+    def explain(self, text: str | None) -> tuple[str, float, list[str], list[float], float]:
+        """As ``infer``, and how much better than chance the mixture explains a trigram, as a mean logarithm."""
         if not text or not self.languages or not has_letter(text):
-            return "und", 0.0, [], []
+            return "und", 0.0, [], [], 0.0
         counts = np.bincount(trigram_buckets(text), minlength=BUCKETS)
         at = np.flatnonzero(counts)
         c, p = counts[at].astype(np.float64), self.probabilities[at]
         n = float(c.sum())
         single = c @ np.log(p)
-        order = np.argsort(-single, kind="stable")[: self.candidates]
+        order = np.argsort(-single, kind="stable")
         chosen, level, weights = [int(order[0])], float(single[order[0]]), np.ones(1)
         cost = self.penalty * math.log(n + 1)
         if len(order) > 1:
@@ -92,7 +96,7 @@ class LanguageModel:
                 chosen, level, weights = [*chosen, k], best, w
         rank = np.argsort(-weights, kind="stable")
         names = [self.languages[chosen[i]] for i in rank]
-        return names[0], float(min(1.0, weights[rank[0]])), names, [float(weights[i]) for i in rank]
+        return names[0], float(min(1.0, weights[rank[0]])), names, [float(weights[i]) for i in rank], level / n + math.log(BUCKETS)
 
 
 def fit(labelled: DataFrame, smoothing: float = 0.5, **options) -> LanguageModel:
@@ -137,21 +141,22 @@ def held_out(col: str = "doc_id") -> "F.Column":
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told: no letters, or no language with ``least`` of the text.
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` without the rows whose language cannot be told.
 
-    The decision is taken row by row as texts stream by; a missing lang is filled in. A model without languages (no
-    labelled rows) can only tell that a text has no letters.
+    Those are texts without letters and texts whose trigrams the chosen mixture explains no better than chance (all
+    buckets alike). A text in several languages stays. The decision is taken row by row as texts stream by; a missing
+    lang is filled in. A model without languages (no labelled rows) can only tell that a text has no letters.
     """
     schema = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in flat_batches(batches):
-            found = [model.infer(t) for t in texts]
+            found = [model.explain(t) for t in texts]
             at = batch.schema.get_field_index("lang")
             lang = [x if x is not None else f[0] for x, f in zip(batch.column(at).to_pylist(), found)]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(lang, pa.string()))
-            keep = [f[0] != "und" and f[1] >= least for f in found] if model.languages else [has_letter(t) for t in texts]
+            keep = [f[0] != "und" and f[4] > 0 for f in found] if model.languages else [has_letter(t) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

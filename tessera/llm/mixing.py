@@ -11,7 +11,7 @@ domains comes from one aggregation over its exploded words, whose log probabilit
 aggregation of K sums; a document's rate is a nested expression of the K-vectors seen so far, so no state is kept.
 
 Defined results: null and blank texts have no tokens, the prior as posterior, and the starting rate (1, or ``least``
-if larger); a null doc_id is kept; repeated rows share their rate; without labelled rows posteriors are uniform; an empty
+if larger); a null doc_id is kept; repeated rows share their rate and each counts towards the totals; without labelled rows posteriors are uniform; an empty
 table gives an empty result.
 """
 
@@ -47,7 +47,7 @@ def classifier(docs: DataFrame, labelled: DataFrame, domains: dict[str, str], fi
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: dict[str, str], fit_rows: int = 4000, buckets: int = 1 << 13, smoothing: float = 0.5, evidence: float = 50.0) -> DataFrame:
-    """(doc_id, row_hash, n_tokens, p array) of every document, stored in the shared folder."""
+    """(doc_id, row_hash, n_tokens, n_rows, p array) of every distinct (doc_id, text), stored in the shared folder."""
     table, prior = classifier(docs, labelled, domains, fit_rows, buckets, smoothing)
     size = range(len(domains))
     # an empty word ends each document, so documents without words have a row, and repeated rows can be counted
@@ -62,8 +62,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: dict[str, str], fi
     logs = [F.col(f"s{k}") * scale + (prior[k] - prior[last]) for k in size[:-1]] + [F.lit(0.0)]
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     weights = F.array(*(F.exp(x - top) for x in logs))
-    out = sums.select("doc_id", "row_hash", F.col("n_words").alias("n_tokens"), weights.alias("w"))
-    return materialize(out.select("doc_id", "row_hash", "n_tokens", F.expr("transform(w, x -> x / aggregate(w, 0D, (a, b) -> a + b))").alias("p")), "posteriors")
+    out = sums.select("doc_id", "row_hash", F.col("n_words").alias("n_tokens"), F.col("rows").alias("n_rows"), weights.alias("w"))
+    return materialize(out.select("doc_id", "row_hash", "n_tokens", "n_rows", F.expr("transform(w, x -> x / aggregate(w, 0D, (a, b) -> a + b))").alias("p")), "posteriors")
 
 
 def _solve(g: list[list[float]], r: list[float]) -> list[float]:
@@ -97,8 +97,10 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
     domain must shrink, so the mixture is reached by repeating.
     """
     size = range(len(targets))
+    # a row of a table that repeats it stands for each of its rows
     a = [F.col("n_tokens") * F.col("p")[k] for k in size]
-    first = members.agg(*(F.sum(a[k]).alias(f"t{k}") for k in size), *(F.sum(a[i] * a[j]).alias(f"g{i}_{j}") for i in size for j in size if i <= j)).first()
+    rows = F.col("n_rows")
+    first = members.agg(*(F.sum(rows * a[k]).alias(f"t{k}") for k in size), *(F.sum(rows * a[i] * a[j]).alias(f"g{i}_{j}") for i in size for j in size if i <= j)).first()
     now = [first[f"t{k}"] or 0.0 for k in size]
     gram = [[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in size] for i in size]
     if total is None:
@@ -112,7 +114,7 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
             break
         pulls.append(_solve(gram, gap))
         rate = _rate(pulls, start, least)
-        row = members.agg(*(F.sum(rate * a[k]).alias(f"t{k}") for k in size)).first()
+        row = members.agg(*(F.sum(rows * rate * a[k]).alias(f"t{k}") for k in size)).first()
         reached = [row[f"t{k}"] or 0.0 for k in size]
     return members.withColumn("rate", rate), goal, reached
 

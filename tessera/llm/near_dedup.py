@@ -4,8 +4,9 @@
    ``j`` it offers ``j + u`` (``u`` uniform in [0, 1)) to the ``j``-th slot of its permutation, and each slot keeps
    the least. A document stops as soon as no later round can lower a slot, which long documents reach in one
    round. All elements of a chunk of documents take a round together.
-2. *Classes.* Documents of equal sets (equal size and 128 bits of digest) become one class, represented by the
-   smallest id: thousands of copies cost one row from here on.
+2. *Classes.* Rows of equal text (64 bits of its hash, and size and 128 bits of digest of its set) become one class,
+   represented by the smallest id: thousands of copies cost one row from here on. Different texts of equal sets are
+   different classes, which share all their buckets, so they are confirmed on full sets like any others.
 3. *Banding.* A bucket is a band of equal slots. In each bucket every class is tried against one hub: the class
    that meets most others over all bands, which in a group of near copies is one close to their origin. Classes
    that are now connected need no more tests. For buckets that still hold several components, each class gets a
@@ -18,8 +19,8 @@
 5. *Components* of the verified links (``components.py``).
 
 Defined results: null and blank texts have an empty set, link with nothing and form a component of their own; a
-null doc_id has a null component and is kept; rows that repeat a doc_id are one node; an empty table gives an
-empty result; columns beyond doc_id and text are ignored.
+null doc_id has a null component and is kept; rows that repeat a doc_id are one node, linked by each of their texts; an
+empty table gives an empty result; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import LOWER, SPACE, byte_words, drop_table, flat_batches, materialize, mix64, shingles
+from tessera.llm._shared import LOWER, SPACE, byte_words, flat_batches, free_names, materialize, mix64, shingles, temporary_tables
 from tessera.llm.components import connected_components
 
 _FRACTION = np.uint64((1 << 48) - 1)
+#: What makes a class.
+_KEY = ["row_hash", "set_a", "set_b", "n_shingles"]
 
 
 def distinct_sets(values: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +91,7 @@ def band_hashes(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, shingle: int = 5, slots: int = 96, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands) of every whole text."""
+    """(doc_id, row_hash, n_shingles, set_a, set_b, bands) of every whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in flat_batches(batches):
@@ -106,11 +109,12 @@ def signature_table(docs: DataFrame, shingle: int = 5, slots: int = 96, rows: in
                 bands = band_hashes(superminhash(v, owner, len(part), slots), rows).view(np.int64)
                 bands_col = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * bands.shape[1], pa.array(bands.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, len(part)), pa.array(n.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), bands_col],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    [batch.column(0).slice(i, len(part)), batch.column(1).slice(i, len(part)), pa.array(n.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), bands_col],
+                    ["doc_id", "row_hash", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+    return rows_in.mapInArrow(run, "doc_id long, row_hash long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def verify_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, per_task: int = 256) -> DataFrame:
@@ -173,26 +177,35 @@ def _may_reach(percent: int) -> str:
     return f"(100 + {percent}) * {both} >= {percent} * (n + hub.n)"
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, slots: int = 96, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document; see the module's text.
+def _classes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes with a number of their own, ids on rows of several classes).
 
-    ``kept`` is true for the smallest id of a component. With 24 bands of four slots, a pair at similarity 0.8 is
-    missed with a probability of 3e-6.
+    The number is the smallest id of the class, or a negative hash where that id is on rows of several classes.
     """
-    signed = materialize(signature_table(docs, shingle, slots, rows), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(_KEY).agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialize(classes, "classes")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(_KEY)).alias("a"), F.max(F.struct(_KEY)).alias("b")).where("a <> b")
+    several = materialize(several.select("doc_id"), "ids-of-several-texts")
+    if several.isEmpty():
+        return classes.withColumn("rep", F.col("first")), several
+    some = several.select(F.col("doc_id").alias("first"), F.lit(True).alias("shared"))
+    number = -F.pmod(F.xxhash64(*_KEY), F.lit(1 << 62)) - 2
+    return materialize(classes.join(some, "first", "left").withColumn("rep", F.when(F.col("shared"), number).otherwise(F.col("first"))).drop("shared"), "classes"), several
+
+
+def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """(node, component) of the classes that link with any other, or None."""
     members = classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("n"))
     full = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
     members = materialize(members.join(full, "bucket"), "buckets")
     meets = members.groupBy("rep").agg(F.sum("k").alias("weight"))
     members = materialize(members.join(meets, "rep").select("bucket", "rep", "n", "weight"), "weighted-buckets")
     # whole texts of the classes that meet any other, taken out of the documents once
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    texts = texts.join(wanted.hint("merge"), "id")
-    if repeats(docs):  # an id with several texts is one node, compared by the least of them
-        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("first").alias("doc_id"), "row_hash", F.col("rep").alias("id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text").where("doc_id is not null")
+    texts = texts.join(wanted.hint("merge"), ["doc_id", "row_hash"]).select("id", "text")
+    if not repeated_rows(docs).isEmpty():
+        texts = texts.dropDuplicates(["id"])
     texts = materialize(texts, "class-texts")
 
     labels = tested = None
@@ -225,26 +238,61 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
             tested = pairs if tested is None else tested.union(pairs)
             new = verify_pairs(pairs, texts, shingle, percent)
             labels = connected_components(new if labels is None else new.union(labels.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    reps = classes.select("set_a", "set_b", "n_shingles", "rep")
-    if labels is not None:
-        reps = reps.join(labels, reps.rep == labels.node, "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("rep"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(reps, ["set_a", "set_b", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def repeats(docs: DataFrame) -> bool:
-    """Whether any doc_id is on several rows."""
-    return not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-
-
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near duplicates: of each group the row of the smallest id stays, once."""
-    groups = near_duplicate_groups(docs, **options)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    repeated = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
+    return labels
+
+
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, slots: int = 96, rows: int = 4) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document, a stored table; see the module's text.
+
+    ``kept`` is true for the smallest id of a component. With 24 bands of four slots, a pair at similarity 0.8 is
+    missed with a probability of 3e-6.
+    """
+    with temporary_tables(docs.sparkSession) as keep:
+        signed = materialize(signature_table(docs, shingle, slots, rows), "signatures")
+        classes, several = _classes(signed)
+        labels = _linked(docs, classes, shingle, percent)
+        of_class = classes.select(*_KEY, "rep")
+        if labels is not None:
+            of_class = of_class.join(labels, of_class.rep == labels.node, "left").select(*_KEY, F.coalesce("component", "rep").alias("rep"))
+        out = signed.select("doc_id", *_KEY).join(of_class, _KEY, "left")
+        if not several.isEmpty():  # an id on rows of several classes links them, and is what numbers them
+            both = connected_components(out.where("rep is not null").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+            real = signed.select(F.col("doc_id").alias("node")).distinct()
+            least = both.join(real, "node", "left_semi").groupBy("component").agg(F.min("node").alias("least"))
+            by_id = both.join(least, "component").select(F.col("node").alias("doc_id"), "least")
+            out = out.join(by_id, "doc_id", "left").withColumn("rep", F.coalesce("least", "rep"))
+        out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
+        return keep(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicate-groups")
+
+
+def repeated_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash) on several rows."""
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash")).count().where("count > 1 and doc_id is not null").select("doc_id", "row_hash")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, slots: int = 96, rows: int = 4) -> DataFrame:
+    """``docs`` without near duplicates: of each group the row of the smallest id (then text hash) stays, once.
+
+    Rows of one id are judged by their own texts: different ones stay. Of rows that also repeat the text, the one
+    whose other columns have the smallest hash stays. Rows without an id or without words stay.
+    """
+    spark = docs.sparkSession
+    d, h, n = free_names(docs, "_d", "_h", "_n")
+    with temporary_tables(spark) as keep:
+        signed = materialize(signature_table(docs, shingle, slots, rows), "signatures")
+        classes, _ = _classes(signed)
+        labels = _linked(docs, classes, shingle, percent)
+        if labels is None:
+            labels = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+        first = classes.join(labels, classes.rep == labels.node, "left").groupBy(F.coalesce("component", "rep").alias("rep")).agg(F.min(F.struct("first", "row_hash")).alias("stays"))
+        stays = first.select(F.col("stays.first").alias("doc_id"), F.col("stays.row_hash").alias("row_hash"))
+        gone = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", "row_hash").distinct().join(stays, ["doc_id", "row_hash"], "left_anti")
+        gone = keep(gone.select(F.col("doc_id").alias(d), F.col("row_hash").alias(h)), "near-duplicates")
+    same = (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(h))
+    kept = docs.join(gone, same, "left_anti")
+    twice = materialize(repeated_rows(docs).select(F.col("doc_id").alias(d), F.col("row_hash").alias(h)), "repeated-rows")
+    if twice.isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
+    once = kept.join(twice, same, "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1)
+    return kept.join(twice, same, "left_anti").union(once.select(docs.columns))

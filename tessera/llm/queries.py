@@ -39,6 +39,7 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = mixing.posteriors(docs, read_table(spark, sf_dir, "labels"), DOMAINS)
     rated, _, _ = mixing.fit_rates(members, list(TARGETS.values()))
     shares = (F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(DOMAINS))
+    rated = rated.withColumn("_row", F.explode(F.expr("sequence(1L, n_rows)")))
     return rated.select("doc_id", "row_hash", "n_tokens", *shares, "rate", mixing.copies(F.col("rate"), F.col("doc_id"), F.col("row_hash")).alias("copies"))
 
 

@@ -22,6 +22,7 @@ kept; repeated rows are each written; an empty table gives an empty manifest; ex
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -48,9 +49,27 @@ SEEK_ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 MANIFEST = "part int, path string, n_docs long, n_ids long, n_bytes long"
 
 
+#: The normaliser and the splitter of the tokenizer file under which ``WordCache`` may cut texts.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those for which pieces between white space can be encoded alone."""
+    added = settings.get("added_tokens") or []
+    return settings.get("normalizer") == _NORMALISER and settings.get("pre_tokenizer") == _SPLITTER and all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in added)
+
+
 class WordCache:
-    """Ids of white-space separated pieces of text, by the tokenizers library.
+    """Ids of texts, by the tokenizers library, from those of their white-space separated pieces where that is exact.
 
+    That is so for files whose normaliser and splitter are the ones above; with any other, whole texts are encoded.
     The tokenizer drops white space and case before it splits and merges, so the ids of a text are those of its
     pieces one after the other, and a piece met before is not encoded again. ASCII marks between a letter or digit
     and white space are a piece of their own, as the tokenizer's split always makes them one. Texts that hold ``<|``
@@ -71,6 +90,8 @@ class WordCache:
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.by_piece = splits_at_spaces(json.load(f))
 
     @classmethod
     def of_worker(cls, tokenizer_path: str, width: str) -> WordCache:
@@ -79,6 +100,9 @@ class WordCache:
         return cls._OF_WORKER[tokenizer_path, width]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.width == "<u2" else "I"  # machines of Spark's Arrow are little endian
+        if not self.by_piece:
+            return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         split = []
         for text in texts:
             raw = text.encode("utf-8", "surrogatepass")
@@ -87,7 +111,6 @@ class WordCache:
         if len(known) > self.limit:
             known.clear()
         new = set(chain.from_iterable(split)).difference(known)
-        kind = "H" if self.width == "<u2" else "I"  # machines of Spark's Arrow are little endian
         plain = [p for p in new if self._LETTERS.fullmatch(p)]
         for tokenizer, some in ((self.letters, plain), (self.tokenizer, list(new.difference(plain)))):
             for p, e in zip(some, tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):

@@ -54,6 +54,31 @@ def test_language(spark, two_languages, odd, empty):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
 
 
+def test_every_language_can_join():
+    """Two languages that are never among the best eight alone, in a text of many; the set against all subsets."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.full(60, 0.05), 10).T + 1e-9
+    full = np.full((language_id.BUCKETS, 10), 1e-9)
+    full[:60] = p / p.sum(axis=0)
+    model = language_id.LanguageModel([f"l{i}" for i in range(10)], full)
+    for parts in ((0.5, 0.3, 0.2), (1.0,), (0.15,) * 6 + (0.1,)):
+        counts = np.round(2000 * sum(w * full[:60, i] for i, w in enumerate(parts))).astype(int)
+        draw, language_id.trigram_buckets = language_id.trigram_buckets, lambda t: np.repeat(np.arange(60), counts)
+        try:
+            name, score, names, shares = model.infer("x")
+        finally:
+            language_id.trigram_buckets = draw
+        assert set(names) == {f"l{i}" for i in range(len(parts))} and np.allclose(sorted(shares), sorted(parts), atol=0.05)
+        assert score == shares[0] and name == names[0]
+
+
+def test_texts_of_several_languages_stay(spark, two_languages):
+    model = language_id.fit(two_languages)
+    rows = [(1, sentence(5, 60) + " " + " ".join(GERMAN * 3), None, "s", 0), (2, "qxzzkq vvwjq zxqj kqxv jjqzx wqqk", None, "s", 0), (3, "1 2 3", None, "s", 0)]
+    kept = table(language_id.keep_identified(spark.createDataFrame(rows, SCHEMA), model))
+    assert set(kept) == {1} and kept[1].lang in ("de", "en")
+
+
 # -- op2 ------------------------------------------------------------------------------------------------------------
 
 
@@ -82,6 +107,28 @@ def test_mixing(spark, two_languages, odd, empty):
         assert m.where("isnan(rate) or rate is null").isEmpty()
 
 
+def test_posteriors_by_force(two_languages):
+    labels = two_languages.where("doc_id < 50").select("doc_id", (F.col("lang") == "en").cast("int").alias("quality"))
+    got = table(mixing.posteriors(two_languages, labels, {"de": "quality = 0", "en": "quality = 1"}, buckets=1 << 20, evidence=50.0))
+    rows = {r.doc_id: WORD.findall((r.text or "").translate(LOW)) for r in two_languages.collect()}
+    counts = [collections.Counter(w for i in range(50) if i % 2 == k for w in rows[i]) for k in (0, 1)]
+    for i, w in rows.items():
+        logs = [min(1.0, 50 / len(w)) * sum(math.log((c[x] + 0.5) / (sum(c.values()) + 0.5 * (1 << 20))) for x in w) for c in counts]
+        want = 1 / (1 + math.exp(logs[0] - logs[1]))
+        assert math.isclose(got[i].p[1], want, abs_tol=1e-9)
+
+
+def test_repeated_rows_count_in_the_mixture(spark):
+    rows = [(i, " ".join(f"g{(i * 7 + k) % 11}" for k in range(20))) for i in range(100)] + [(1000, " ".join(f"b{k % 5}" for k in range(20)))] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(50)] + [(1000, 0)], "doc_id long, quality int")
+    members = mixing.posteriors(docs, labels, {"bad": "quality = 0", "good": "quality = 1"})
+    rated, goal, reached = mixing.fit_rates(members, [0.5, 0.5])
+    assert np.allclose(goal, reached, rtol=1e-3)
+    n = table(mixing.mix(docs, rated).groupBy((F.col("doc_id") == 1000).alias("bad")).count(), "bad")
+    assert abs(n[True]["count"] - n[False]["count"]) <= 0.1 * n[False]["count"]
+
+
 # -- op3 ------------------------------------------------------------------------------------------------------------
 
 
@@ -352,6 +399,17 @@ def test_groups_of_many_variants(spark):
     assert got == want and len({c for _, c in want.values()}) > 1
 
 
+def test_groups_of_an_id_with_several_texts(spark):
+    changed = sentence(40, 80).split()
+    changed[3] = "changed"
+    rows = [(5, sentence(1, 80)), (5, sentence(40, 80)), (9, " ".join(changed)), (11, sentence(40, 80)), (3, sentence(1, 80).upper() + "\n"), (7, ""), (7, sentence(60, 80)), (8, sentence(60, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicate_groups(df, shingle=2).collect()}
+    assert got == {(5, 3, False), (9, 3, False), (11, 3, False), (3, 3, True), (7, 7, True), (8, 7, False)}
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.keep_one_of_each(df, shingle=2).collect())
+    assert kept == sorted([(3, rows[4][1]), (5, rows[1][1]), (7, ""), (7, rows[6][1])])
+
+
 def test_groups_of_odd_tables(odd, empty, docs):
     got = near_dedup.near_duplicate_groups(odd, shingle=2)
     assert got.count() == 6 and got.where("doc_id is null and component_id is null and kept").count() == 2
@@ -444,6 +502,16 @@ def test_token_files(spark, docs, texts, odd, empty):
     assert token_output.read_digests(token_output.write_documents(empty, path, 2)).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tok, texts = Tokenizer.from_file(path), ["Hello World, it's fine.", "", "  two  spaces\n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in token_output.read_documents(token_output.write_documents(docs, path, 2)).collect()}
+    assert got == {i: tok.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
 def test_pieces_are_those_of_the_tokenizer():
     cache = token_output.WordCache(queries.tokenizer_path(), "<u2")
     for s in ["a<|startoftext|>b c", "x<|ENDOFTEXT|> é, É,", "é́ x\u0085y z\x1cw\x0bq\x0cr", "ΑΣ ΣΑΣ. İx", "don't we'll go 123 १२", "  ", "x's. y' l'été, … é…, ß. ÷. aé÷, ×!! été!!! ÉTÉ. don't! a'' z<b>", "Hi, there. A.B, c.. d, 9. 東京, 東。"]:

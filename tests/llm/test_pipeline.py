@@ -1,13 +1,16 @@
 """The pipeline: each stage on its own input against a brute-force version."""
 
 import collections
+import zlib
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import token_output
+from tessera.llm import mixing
 from tessera.llm._shared import read_table
-from tessera.llm.queries import tokenizer_path
+from tessera.llm.queries import DOMAINS, TARGETS, tokenizer_path
 
 from .test_operators import LOW, WORD, groups_by_force
 
@@ -58,18 +61,32 @@ def test_decontamination_stage(stages):
     assert sorted(r["doc_id"] for r in rows[3]) == sorted(r["doc_id"] for r in rows[2] if r["doc_id"] not in dirty)
 
 
-def test_mixing_stage(stages):
+def test_mixing_stage(spark, stages):
     rows, _, _ = stages
     before, after = collections.Counter(r["doc_id"] for r in rows[3]), collections.Counter(r["doc_id"] for r in rows[4])
     assert before.keys() == after.keys() and all(after[i] >= before[i] for i in before) and sum(after.values()) > sum(before.values())
+    # the expected tokens of each domain have the target weights
+    members = mixing.posteriors(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows[3]], "doc_id long, text string"), read_table(spark, "/root/testdata/sf0.001", "labels"), DOMAINS)
+    total = [0.0] * len(TARGETS)
+    for m in members.collect():
+        for k in range(len(total)):
+            total[k] += after[m.doc_id] * m.n_tokens * m.p[k]
+    assert all(abs(t / sum(total) - w) < 0.03 for t, w in zip(total, TARGETS.values())), total
 
 
 def test_token_stage(stages):
     rows, _, _ = stages
-    cache = token_output.WordCache(tokenizer_path(), "<u2")
-    want = sorted((r["doc_id"], len(cache.encode_all([r["text"] or ""])[0]) // 2 + 1) for r in rows[4])
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in rows[5]) == want
+    tok = Tokenizer.from_file(tokenizer_path())
+    ids = {r["doc_id"]: np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids + [2], "<u4") for r in rows[4]}
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows[5]) == sorted((r["doc_id"], len(ids[r["doc_id"]]), zlib.crc32(ids[r["doc_id"]].tobytes())) for r in rows[4])
     at = 0
     for r in sorted(rows[5], key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
+
+
+def test_run(spark, stages):
+    rows, _, _ = stages
+    got = [r.asDict() for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()]
+    plain = lambda rows: sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows)
+    assert plain(got) == plain(rows[5])
