@@ -122,7 +122,7 @@ def string_list(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def chunks(texts: list[str], limit: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters: bounds the arrays made at once, whole texts each."""
     begin = size = 0
     for i, text in enumerate(texts):
@@ -134,7 +134,7 @@ def chunks(texts: list[str], limit: int = 1_500_000) -> Iterator[tuple[int, int]
         yield begin, len(texts)
 
 
-def flat_batches(batches: Iterable[pa.RecordBatch], limit: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def flat_batches(batches: Iterable[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of Arrow batches with the column ``text`` as a list of whole texts, about ``limit`` characters each."""
     for batch in batches:
         texts = string_list(batch.column(batch.schema.get_field_index("text")))
