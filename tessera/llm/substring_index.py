@@ -12,16 +12,23 @@ doc_id? Documents are whole texts as UTF-8 bytes.
    another document can't match and is left out. A task builds, over blocks of whole anchor groups in doc_id order,
    a Burrows-Wheeler transform of bounded context (suffixes ordered by their first ``length`` bytes, ties by
    document), run-length encodes it with runs cut where that prefix changes, and keeps the suffix at each end of
-   each run. Streaming the contexts back gives each position's run, and by the run's class the document of its
-   first sample: the matching statistic reaches ``length`` exactly where that document is a smaller one.
-3. *Removal.* Marked stretches meet their documents, are united, and cut out.
+   each run.
+3. *Matching statistics.* Each context is streamed backwards through the transform, all contexts of a block in step:
+   from the interval of the last ``length`` bytes the last byte is let go (the interval widens to that of one byte
+   less) and the byte before is taken on by an LF step over the runs. The sample at the start of the interval's first
+   run is the first document with those ``length`` bytes: the statistic reaches ``length`` where that is a smaller one.
+4. *Removal.* Marked stretches meet their documents, are united, and cut out.
+
+Equal contexts of an anchor (exact copies for the most part) are settled in step 1 by a 64-bit hash of all their bytes
+together with the anchor's own 64 bits; their bytes aren't compared.
 
 Memory: streams hold an Arrow batch; a block holds about ``block_bytes`` of contexts or one anchor's contexts (84
 bytes each), after equal contexts were collapsed.
 
-Defined results: null text counts as empty; a null doc_id counts as larger than any other; texts under ``length``
-bytes lose nothing; rows of equal doc_id never mark each other; repeated rows each get their own row; an empty table
-gives an empty result; other columns are ignored.
+Defined results: null text counts as empty; a null doc_id counts as larger than any other, as do ids within 2^40 of the
+largest; texts under ``length`` bytes lose nothing; rows of equal doc_id never mark each other, nor do those without one;
+repeated rows each get their own row; very long texts are so many more anchors; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,12 +47,14 @@ from tessera.llm._shared import _INVERSE, _ODD, _powers, flat_batches, materiali
 
 GRAM = 16
 _LAST = (1 << 63) - 1
+#: Documents from here on have no id: 40 bits of their text's hash tell them apart.
+_NO_ID = _LAST - (1 << 40)
 #: A byte that no UTF-8 text has: it ends each context.
 _END = 0xFF
 
 
 def tag_of(raw: bytes) -> int:
-    """Tells rows of one doc_id apart."""
+    """Tells rows of one doc_id apart; the packed position leaves 23 bits."""
     return zlib.crc32(raw) & 0x7FFFFF
 
 
@@ -99,6 +108,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []  # its rows of kind 1 while it has one context
     for b in batches:
         h, c, doc, at = (b.column(i).to_numpy() for i in range(4))
+        place = np.minimum(doc, _NO_ID)
         n = len(h)
         if not n:
             continue
@@ -109,9 +119,9 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_c[1:] |= c[1:] != c[:-1]
         new_c[0] |= c0 is None or c[0] != c0
         run = np.cumsum(new_c)  # 0: the context that was open before
-        firsts = doc[new_c]
+        firsts = place[new_c]
         first = np.where(run > 0, firsts[np.maximum(run - 1, 0)] if len(firsts) else 0, d0 if d0 is not None else 0)
-        inside = doc > first
+        inside = place > first
         group = np.cumsum(new_h)
         contexts = np.bincount(group, weights=new_c, minlength=group[-1] + 1)
         several = contexts > 1
@@ -141,48 +151,78 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class RunLengthIndex:
     """A run-length encoded Burrows-Wheeler transform of bounded context, with the suffixes at run ends.
 
-    Suffixes of fewer than ``length`` bytes can't hold a match and are left out.
+    Its rows are the suffixes with at least ``length - 1`` bytes left in their context, ordered by their first
+    ``length`` bytes (the end of a context is one), then by place in the text. Streaming needs the runs' bytes, starts
+    and first samples, where the prefixes of ``length - 1`` bytes change, and each context's entry row.
     """
 
     def __init__(self, text: np.ndarray, rest: np.ndarray, length: int):
         """``text``: bytes of contexts in document order, each ended by ``_END``; ``rest``: bytes left in the context."""
-        n = len(text)
+        n, left = len(text), rest + 1
         padded = np.concatenate([text, np.full(8, _END, np.uint8)])
+        have = min(8, length - 1)
         key = np.zeros(n, np.uint64)
-        for i in range(8):
+        for i in range(have):
             key = (key << np.uint64(8)) | padded[i : i + n].astype(np.uint64)
-        key >>= np.uint64(8 * max(0, 8 - length))
-        at = np.flatnonzero(rest >= min(8, length))
+        at = np.flatnonzero(left >= have)
         rank = np.zeros(n, np.uint64)
         rank[at] = np.unique(key[at], return_inverse=True)[1]
-        have = 8
-        while have < length:
-            step = min(have, length - have)
-            at = np.flatnonzero(rest >= have + step)
-            pairs = (rank[at] << np.uint64(32)) | rank[at + step]
-            rank[at] = np.unique(pairs, return_inverse=True)[1]
-            have += step
+        shorter = rank
+        for goal in (length - 1, length):
+            shorter = rank.copy()
+            while have < goal:
+                step = min(have, goal - have)
+                at = np.flatnonzero(left >= have + step)
+                pairs = (rank[at] << np.uint64(32)) | rank[at + step]
+                rank[at] = np.unique(pairs, return_inverse=True)[1]
+                have += step
+        at = np.flatnonzero(left >= length)
         order = np.argsort(rank[at], kind="stable")
-        suffixes, ordered = at[order], rank[at][order]
-        before = text[suffixes - 1]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = ordered[1:] != ordered[:-1]
-        cut = fresh.copy()
-        cut[1:] |= before[1:] != before[:-1]
+        suffixes = at[order]
+        self._encode(text[suffixes - 1], suffixes, rank[suffixes], shorter[suffixes], rest[suffixes] == length - 1)
+
+    def _encode(self, before: np.ndarray, suffixes: np.ndarray, whole: np.ndarray, shorter: np.ndarray, entries: np.ndarray) -> None:
+        changes = lambda x: np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
+        cut = changes(whole) | changes(before)
         self.run_starts = np.flatnonzero(cut)
         self.run_bytes = before[self.run_starts]
         self.first_samples = suffixes[self.run_starts]
-        self.last_samples = suffixes[np.append(self.run_starts[1:], len(at)) - 1] if len(at) else suffixes
-        #: for each run the run that begins its class of equal prefixes
-        self.class_run = np.maximum.accumulate(np.where(fresh[self.run_starts], np.arange(len(self.run_starts)), 0)) if len(at) else self.run_starts
-        self.positions = at
-        self.places = np.empty(len(at), np.int64)
-        self.places[order] = np.arange(len(at))
-
-    def first_match(self) -> np.ndarray:
-        """For each of ``positions``, in order, the first position of the text with the same ``length`` bytes."""
-        runs = np.searchsorted(self.run_starts, self.places, side="right") - 1
-        return self.first_samples[self.class_run[runs]]
+        self.last_samples = suffixes[np.append(self.run_starts[1:], len(suffixes)) - 1] if len(suffixes) else suffixes
+        self.shorter_starts = np.flatnonzero(changes(shorter))
+        # rows that no LF step reaches: those where a context enters
+        rows = np.flatnonzero(entries)
+        self.entry_rows, self.entry_positions = rows, suffixes[rows]
+        self._reached_before = rows - np.arange(len(rows))
+        # runs by byte, then place: how many rows come before each of them in that order
+        sizes = np.diff(np.append(self.run_starts, len(suffixes)))
+        by_byte = np.argsort(self.run_bytes, kind="stable")
+        self._byte_keys = (self.run_bytes[by_byte].astype(np.int64) << 40) | self.run_starts[by_byte]
+        self._byte_sizes = sizes[by_byte]
+        self._byte_sums = np.cumsum(self._byte_sizes) - self._byte_sizes
+
+    def step(self, rows: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """From the first rows of intervals, the first row of each interval with ``byte`` put before and the last byte let go."""
+        start = self.shorter_starts[np.searchsorted(self.shorter_starts, rows, side="right") - 1]
+        run = np.searchsorted(self._byte_keys, (byte.astype(np.int64) << 40) | start, side="right") - 1
+        found = np.maximum(run, 0)
+        inside = (self._byte_keys[found] >> 40) == byte
+        past = np.where(inside, np.minimum(start - (self._byte_keys[found] & ((1 << 40) - 1)), self._byte_sizes[found]), self._byte_sizes[found])
+        reached = np.where(run >= 0, self._byte_sums[found] + past, 0)
+        return reached + np.searchsorted(self._reached_before, reached, side="right")
+
+    def first_sample(self, rows: np.ndarray) -> np.ndarray:
+        """The first position of the text with the ``length`` bytes of an interval that begins at each row."""
+        return self.first_samples[np.searchsorted(self.run_starts, rows)]
+
+    def stream(self, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(positions, the first position with the same ``length`` bytes as each): every context backwards, all in step."""
+        rows, at = self.entry_rows, self.entry_positions
+        while len(at):
+            byte = text[at - 1]
+            inside = byte != _END
+            rows, at = self.step(rows[inside], byte[inside]), at[inside] - 1
+            if len(at):
+                yield at, self.first_sample(rows)
 
 
 def _shared_halves(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, left: np.ndarray, h: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
@@ -204,7 +244,7 @@ def _shared_halves(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, left
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        d = docs[some][order]
+        d = np.minimum(docs[some][order], _NO_ID)
         several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
         keep[some[order]] |= np.repeat(several, np.diff(np.append(first, len(d))))
     return keep
@@ -225,9 +265,9 @@ def _mark_block(h: np.ndarray, docs: np.ndarray, at: np.ndarray, left: np.ndarra
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(contexts)), sizes)
     place = np.arange(len(text)) - starts[owner]
-    index = RunLengthIndex(text, sizes[owner] - 1 - place, length)
-    where = index.positions
-    hit = where[docs[owner[index.first_match()]] < docs[owner[where]]]
+    index, ranks = RunLengthIndex(text, sizes[owner] - 1 - place, length), np.minimum(docs, _NO_ID)
+    hits = [at_[ranks[owner[first]] < ranks[owner[at_]]] for at_, first in index.stream(text)]
+    hit = np.sort(np.concatenate([place[:0], *hits]))
     p, o = place[hit], owner[hit]
     if not len(p):
         return none
@@ -279,7 +319,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 21
     ``spans``: (start, stop) of the maximal removed runs; ``kept``: the remaining bytes.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = ids.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "doc_id", "text")
+    ids = ids.select(F.coalesce("doc_id", F.lit(_LAST) - F.xxhash64("text").bitwiseAND((1 << 40) - 1)).alias("doc"), "doc_id", "text")
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    collect = F.collect_set if repeated else F.collect_list
     found = _anchor_rows(ids.select("doc", "text"), length).repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_settle, "doc long, at long, h long, kind int")
     found = materialize(found.withColumn("tag", F.shiftright("at", 40)), "anchors")
     texts = _packed(ids)
@@ -297,13 +339,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 21
                         col.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], ["h", "doc", "at", "left", "ctx"])
 
-    asked = found.where("kind = 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "h")).alias("asked"))
-    contexts = texts.join(asked.hint("merge"), ["doc", "tag"]).select("doc", "packed", "asked").mapInArrow(cut, "h long, doc long, at long, left long, ctx binary")
+    asked = found.where("kind = 1").groupBy("doc", "tag").agg(collect(F.struct("at", "h")).alias("asked"))
+    once = texts.dropDuplicates(["doc", "tag"]) if repeated else texts
+    contexts = once.join(asked.hint("merge"), ["doc", "tag"]).select("doc", "packed", "asked").mapInArrow(cut, "h long, doc long, at long, left long, ctx binary")
     marks = _marks(contexts, length, block_bytes)
     # a stretch is packed as its start and, in the low 16 bits, its size; size 0: the whole context of an anchor
     spans = found.where("kind = 0").select("doc", "tag", F.shiftleft(F.col("at").bitwiseAND((1 << 40) - 1), 16).alias("s"))
     spans = spans.union(marks.select("doc", F.shiftright("at", 40).alias("tag"), F.shiftleft(F.col("at").bitwiseAND((1 << 40) - 1), 16).bitwiseOR(F.col("size")).alias("s")))
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list("s").alias("spans"))
+    spans = spans.groupBy("doc", "tag").agg(collect("s").alias("spans"))
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
