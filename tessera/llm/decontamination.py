@@ -1,20 +1,22 @@
-"""Benchmark decontamination over a distributed positional index, with DataFrame operations only.
+"""Benchmark decontamination over a distributed positional inverted index, with DataFrame operations only.
 
-*Index.* ``build_index`` stores each document's tokens by position as a table in the shared folder, partitioned by
-document: a document's position lists live in its own row, so intersecting lists never moves postings between
-machines. Term frequencies are counted from it over all documents.
+*Index.* ``build_index`` stores the training tokens' postings (term, doc_id, row_hash, pos), in files sorted by term:
+each task inverts its own documents, so building moves nothing between machines, and a look-up by term reads the row
+groups that hold it. The empty term closes each document at position ``n_words``.
 
-*Exact phrases.* Each distinct benchmark window is looked up by its rarest term: that term's postings, less its
-offset in the window, are the candidate starts; the window's other lists are intersected by looking up their
-offset-adjusted positions in the same row. The windows are broadcast while their measured size is under
-``BROADCAST_BYTES``; beyond it the postings of the anchor terms are shuffled instead (then one join splits hot terms).
+*Exact phrases.* The terms of each distinct benchmark window are ranked by their frequency in the index. The postings
+of the rarest, less its offset in the window, are the candidate starts; these are intersected with the offset-adjusted
+list of the next rarest term, and what is left with all other lists at once, by equality joins on (document, position,
+term). Windows and candidates are broadcast while their measured size is under ``BROADCAST_BYTES``; beyond it the
+postings of the terms concerned are shuffled instead, by a key that no single term or document makes hot.
 
 *Proximity.* ``proximity_matches`` takes an item's rarest terms and returns the places where all of them lie
 within ``span`` words, by equality joins on blocks of ``span`` positions.
 
 Words: A-Z in lower case, runs of digits, letters and all characters beyond ASCII. Defined results: null and blank
-texts have no words and hit nothing; a null doc_id is kept; repeated rows each get their own row; an empty
-benchmark leaves everything clean; a null item_id marks words but is not listed; other columns are ignored.
+texts have no words and hit nothing; a null doc_id is kept; repeated rows each get their own row; very long texts are
+so many more postings; an empty benchmark leaves everything clean; a null item_id marks words but is not listed; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import ascii_lower, materialize
+from tessera.llm._shared import ascii_lower, materialize, temporary_tables
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows are broadcast only while their measured text is below this.
+#: Tables are broadcast only while their measured size is below this.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -35,9 +37,16 @@ def words_of(col: str) -> Column:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The stored positional index: (doc_id, row_hash, n_words, words), one row a document."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), F.coalesce(words_of("text"), F.array().cast("array<string>")).alias("words"))
-    return materialize(rows.select("doc_id", "row_hash", F.size("words").cast("long").alias("n_words"), "words"), "positions")
+    """The stored postings: (term, doc_id, row_hash, pos), each document closed by the empty term."""
+    words = F.array_append(F.coalesce(words_of("text"), F.array().cast("array<string>")), "")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), words.alias("words"))
+    rows = rows.select(F.posexplode("words").alias("pos", "term"), "doc_id", "row_hash")
+    return materialize(rows.select("term", "doc_id", "row_hash", "pos").sortWithinPartitions("term"), "postings")
+
+
+def documents_of(index: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, n_words) of every row of the table that was indexed."""
+    return index.where("term = ''").select("doc_id", "row_hash", F.col("pos").cast("long").alias("n_words"))
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -51,41 +60,65 @@ def _small(df: DataFrame, size: Column) -> bool:
     return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
 
 
-def _with_small(big: DataFrame, small: DataFrame, condition, fits: bool) -> DataFrame:
-    return big.join(F.broadcast(small) if fits else small, condition)
+def _with_small(big: DataFrame, small: DataFrame, condition, fits: bool, how: str = "inner") -> DataFrame:
+    return big.join(F.broadcast(small) if fits else small, condition, how)
 
 
 def term_frequencies(index: DataFrame, terms: DataFrame, fits: bool) -> DataFrame:
     """(term, freq) over all documents, for the given terms (those that never occur have 0)."""
-    seen = _with_small(index.select(F.explode("words").alias("term")), terms, "term", fits).groupBy("term").agg(F.count("*").alias("freq"))
+    seen = _with_small(index.select("term"), terms, "term", fits).groupBy("term").agg(F.count("*").alias("freq"))
     return terms.join(seen, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
-def anchored_windows(index: DataFrame, windows: DataFrame) -> tuple[DataFrame, bool]:
-    """Each window with its rarest term and that term's offset, and whether the table may be broadcast."""
-    fits = _small(windows, F.octet_length(F.concat_ws(" ", "window")) * 2 + F.octet_length(F.concat_ws(" ", "items")) + 64)
-    exploded = windows.select("window", F.posexplode("window").alias("offset", "term"))
-    freq = materialize(term_frequencies(index, exploded.select("term").distinct(), fits), "term-frequencies")
-    rarest = exploded.join(freq, "term").where("freq > 0").groupBy("window").agg(F.min_by(F.struct("term", "offset"), F.struct("freq", "term", "offset")).alias("anchor"), F.min("freq").alias("freq"))
-    # a term without postings rules its window out
-    full = exploded.join(freq, "term").groupBy("window").agg(F.min("freq").alias("least")).where("least > 0").select("window")
-    out = windows.join(rarest, "window").join(full, "window", "left_semi")
-    return materialize(out.select(F.col("anchor.term").alias("term"), F.col("anchor.offset").alias("offset"), "window", "len", "items"), "anchors"), fits
+def ranked_terms(index: DataFrame, windows: DataFrame) -> tuple[DataFrame, bool]:
+    """(window, rank, offset, term), the rarest first, of windows whose terms all occur; whether it may be broadcast."""
+    terms = windows.select("id", F.posexplode("window").alias("offset", "term"))
+    fits = _small(terms, F.octet_length("term") + 64)
+    freq = materialize(term_frequencies(index, terms.select("term").distinct(), fits), "term-frequencies")
+    lists = terms.join(freq, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("freq", "term", "offset"))).alias("t")).where("t[0].freq > 0")
+    lists = lists.select("id", F.posexplode("t").alias("rank", "e")).select("id", "rank", F.col("e.offset").alias("offset"), F.col("e.term").alias("term"))
+    return materialize(lists, "ranked-terms"), fits
+
+
+def _intersect(index: DataFrame, found: DataFrame, lists: DataFrame, fits: bool) -> DataFrame:
+    """The candidate starts (id, doc_id, row_hash, start) whose document has every one of ``lists`` at its offset."""
+    asked = _with_small(found, lists, "id", fits).select("id", "doc_id", "row_hash", "start", (F.col("start") + F.col("offset")).alias("pos"), "term")
+    part = _with_small(index, lists.select("term").distinct(), "term", fits, "left_semi")
+    d, r, p, t = (F.col(f"x.{c}") for c in ("doc_id", "row_hash", "pos", "term"))
+    same = F.col("a.doc_id").eqNullSafe(d) & (F.col("a.row_hash") == r) & (F.col("a.pos") == p) & (F.col("a.term") == t)
+    if _small(asked, F.octet_length("term") + 96):
+        met = part.alias("x").join(F.broadcast(asked.alias("a")), same)
+    else:
+        met = asked.alias("a").join(part.alias("x").hint("merge"), same)
+    met = met.groupBy("a.id", "a.doc_id", "a.row_hash", "a.start").agg(F.size(F.collect_set("a.pos")).alias("n"))
+    whole = lists.groupBy("id").agg(F.count("*").alias("n"))
+    return _with_small(met, whole, ["id", "n"], fits).select("id", "doc_id", "row_hash", "start")
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(doc_id, row_hash, start, len, items) of every occurrence of a window in a document."""
-    anchors, fits = anchored_windows(index, materialize(item_windows(items, size), "windows"))
-    found = index.where("n_words > 0").select("doc_id", "row_hash", "words", F.posexplode("words").alias("pos", "term"))
-    found = _with_small(found, anchors, "term", fits)
-    start = F.col("pos") - F.col("offset")
-    found = found.where((start >= 0) & (start + F.col("len") <= F.size("words")) & F.expr("slice(words, greatest(pos - offset, 0) + 1, len) = window"))
-    return found.select("doc_id", "row_hash", start.alias("start"), "len", "items")
+    windows = materialize(item_windows(items, size).withColumn("id", F.monotonically_increasing_id()), "windows")
+    lists, fits = ranked_terms(index, windows)
+    rarest = lists.where("rank = 0").select("id", "term", "offset")
+    found = _with_small(index, rarest, "term", fits).select("id", "doc_id", "row_hash", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    found = materialize(found.distinct(), "candidates")
+    last = lists.groupBy("id").agg(F.max("rank").alias("last"))
+    ended = lambda found, rank: _with_small(found, last.where(f"last = {rank}").select("id"), "id", fits, "left_semi")
+    whole = ended(found, 0)  # windows of one word
+    found = materialize(_intersect(index, found, lists.where("rank = 1"), fits), "candidates")
+    whole = whole.union(ended(found, 1)).union(_intersect(index, found, lists.where("rank > 1"), fits))
+    return _with_small(whole, windows.select("id", "len", "items"), "id", fits).select("doc_id", "row_hash", "start", "len", "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, row_hash, n_words, n_hit, item_ids, spans): words of each document inside benchmark windows."""
-    index = build_index(docs)
+    """(doc_id, row_hash, n_words, n_hit, item_ids, spans): words of each document inside benchmark windows; stored."""
+    with temporary_tables(docs.sparkSession) as keep:
+        index = build_index(docs)
+        return keep(hits_by_document(index, items, size), "contamination")
+
+
+def hits_by_document(index: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """As ``contamination``, from a stored index."""
     hits = phrase_matches(index, items, size).groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("items").alias("found"))
     hits = hits.select(
         F.col("doc_id").alias("d"),
@@ -94,8 +127,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
         F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.len - 1)))))").cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten("found"))).alias("item_ids"),
     )
-    base = index.select("doc_id", "row_hash", "n_words")
-    out = base.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
+    out = documents_of(index).join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_hash") == F.col("r")), "left")
     return out.select("doc_id", "row_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "spans")
 
 
@@ -113,13 +145,13 @@ def proximity_matches(index: DataFrame, items: DataFrame, terms: int = 3, span:
     freq = term_frequencies(index, words.select("term").distinct(), fits)
     ranked = words.join(freq.where("freq > 0"), "term").groupBy("item").agg(F.slice(F.array_sort(F.collect_set(F.struct("freq", "term"))), 1, terms).alias("t"))
     ranked = materialize(ranked.select("item", F.size("t").alias("k"), F.posexplode("t").alias("rank", "e")).select("item", "k", "rank", F.col("e.term").alias("term")), "rare-terms")
-    posted = _with_small(index.select("doc_id", "row_hash", F.posexplode("words").alias("pos", "term")), ranked, "term", fits)
-    posted = posted.withColumn("block", F.floor(F.col("pos") / span))
-    first = posted.where("rank = 0").select("doc_id", "row_hash", "item", "k", F.col("pos").alias("at"), F.explode(F.expr("array(block - 1, block, block + 1)")).alias("block"))
-    near = first.join(posted.select("doc_id", "row_hash", "item", "block", "pos", "rank"), ["doc_id", "row_hash", "item", "block"])
+    # documents as structs: a null id equals itself there
+    posted = _with_small(index, ranked, "term", fits).withColumn("doc", F.struct("doc_id", "row_hash")).withColumn("block", F.floor(F.col("pos") / span))
+    first = posted.where("rank = 0").select("doc", "item", "k", F.col("pos").alias("at"), F.explode(F.expr("array(block - 1, block, block + 1)")).alias("block"))
+    near = first.join(posted.select("doc", "item", "block", "pos", "rank"), ["doc", "item", "block"])
     near = near.where(f"abs(pos - at) < {span}")
-    whole = near.where("rank > 0 or pos = at").groupBy("doc_id", "row_hash", "item", "k", "at").agg(F.collect_set(F.struct("pos", "rank")).alias("near"))
+    whole = near.where("rank > 0 or pos = at").groupBy("doc", "item", "k", "at").agg(F.collect_set(F.struct("pos", "rank")).alias("near"))
     firsts = "transform(filter(near, x -> x.pos <= at), y -> transform(sequence(0, k - 1), r -> array_min(transform(filter(near, x -> x.rank = r and x.pos >= y.pos), x -> x.pos))))"
     whole = whole.withColumn("firsts", F.expr(f"filter({firsts}, f -> forall(f, z -> z is not null))"))
     whole = whole.withColumn("best", F.expr("array_min(transform(firsts, f -> named_struct('width', array_max(f) - array_min(f), 'start', array_min(f), 'stop', array_max(f))))"))
-    return whole.where(f"best.width < {span}").select("doc_id", "row_hash", "item", "best.start", "best.stop")
+    return whole.where(f"best.width < {span}").select("doc.doc_id", "doc.row_hash", "item", "best.start", "best.stop")

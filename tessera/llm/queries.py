@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, oracles, passages, substring_index, token_output, toxicity
-from tessera.llm._shared import read_table
+from tessera.llm._shared import read_table, temporary_tables
 
 #: Domains of the mixture, by the columns of ``labels``, and their target weights.
 DOMAINS = {
@@ -57,15 +57,24 @@ def op5_near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-    )
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    with temporary_tables(spark) as keep:
+        index = decontamination.build_index(docs)
+        near = decontamination.proximity_matches(index, items).groupBy(F.struct("doc_id", "row_hash").alias("d")).agg(F.count("*").alias("n"))
+        found = decontamination.hits_by_document(index, items)
+        found = found.join(near, F.struct("doc_id", "row_hash") == F.col("d"), "left")
+        return keep(
+            found.select(
+                "doc_id",
+                "n_words",
+                "n_hit",
+                F.size("item_ids").cast("long").alias("n_items"),
+                F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                (F.col("n_hit") > 0).alias("contaminated"),
+                F.coalesce("n", F.lit(0)).cast("long").alias("n_near"),
+            ),
+            "benchmark-phrases",
+        )
 
 
 def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
