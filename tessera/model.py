@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -31,6 +31,8 @@ class Element:
     df: DataFrame
     transforms: dict[str, Transform] = field(default_factory=lambda: {GLOBAL: Identity()})
     attrs: dict = field(default_factory=dict)
+    #: a stored raster's pixels out of the tiles that meet windows {scale: {axis: (first, end)}}
+    window: Callable[[dict[int, dict[str, tuple[int, int]]]], DataFrame] | None = field(default=None, compare=False)
 
     @property
     def axes(self) -> tuple[str, ...]:
@@ -48,7 +50,7 @@ class Element:
         return len(self.attrs.get("sizes", {})) > 1
 
     def with_df(self, df: DataFrame, **attrs) -> Element:
-        return replace(self, df=df, attrs={**self.attrs, **attrs}, transforms=dict(self.transforms))
+        return replace(self, df=df, attrs={**self.attrs, **attrs}, transforms=dict(self.transforms), window=None)
 
     def affine(self, cs: str = GLOBAL, axes: tuple[str, ...] | None = None) -> np.ndarray:
         """The matrix over the element's spatial axes (points order) into a coordinate system."""
@@ -82,21 +84,20 @@ class Table:
 
 # -- names ----------------------------------------------------------------------------------------------------------
 
-_GOOD_NAME = re.compile(r"[A-Za-z0-9_.\-]+")
+#: What a name must not look like, and how that is told.
+_BAD_NAMES = {
+    r"": "a name can't be empty",
+    r"\.\.?": "{!r} is not a name",
+    r"__.*": "{!r} begins with two underscores",
+    r".*[^\w.\-].*": "{!r} has characters besides letters, digits, '_', '-' and '.'",
+}
 
 
 def name_problem(name: object) -> str | None:
+    """Why something can't be a name, or None."""
     if not isinstance(name, str):
         return "a name must be text"
-    if not name:
-        return "a name can't be empty"
-    if name in (".", ".."):
-        return f"{name!r} is not a name"
-    if name.startswith("__"):
-        return f"{name!r} begins with two underscores"
-    if not all(ch.isalnum() or ch in "_-." for ch in name):
-        return f"{name!r} has characters besides letters, digits, '_', '-' and '.'"
-    return None
+    return next((told.format(name) for pattern, told in _BAD_NAMES.items() if re.fullmatch(pattern, name, re.DOTALL)), None)
 
 
 def check_names(names: Iterable[str], columns: bool = False) -> None:
@@ -115,14 +116,15 @@ def check_names(names: Iterable[str], columns: bool = False) -> None:
         raise ValueError("; ".join(problems))
 
 
-def sanitize_name(name: str, is_column: bool = False) -> str:
-    """The nearest valid name: other characters become ``_``, leading ``__`` goes, an empty one is ``unnamed``."""
-    out = "".join(ch if ch.isalnum() or ch in "_-." else "_" for ch in name)
-    if is_column and out == "_index":
-        return "index"
-    while out.startswith("__"):
-        out = out[2:]
-    return "unnamed" if out in ("", ".", "..") else out
+def sanitize_name(name: object, is_column: bool = False) -> str:
+    """The nearest valid name.
+
+    Other characters become ``_``; several underscores at the front become one; a column ``_index`` becomes ``index``;
+    what is left without a name is ``unnamed``.
+    """
+    out = re.sub(r"^_{2,}", "_", re.sub(r"[^\w.\-]", "_", str(name)))
+    reserved = {"": "unnamed", ".": "unnamed", "..": "unnamed"} | ({"_index": "index"} if is_column else {})
+    return reserved.get(out, out)
 
 
 def sanitize_names(names: Iterable[str], is_column: bool = True) -> dict[str, str]:

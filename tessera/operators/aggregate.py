@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 from tessera.functions import geometry as G
 from tessera.functions import kernels as K
 from tessera.model import GLOBAL, Element, Table, known_categories
-from tessera.operators.spatial import as_polygons, shapes_meet
+from tessera.operators.spatial import as_polygons, is_box, shapes_meet
 from tessera.operators.transform import transform
 
 
@@ -25,17 +25,23 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
 
 
-def cell_size(regions: DataFrame, cell: float | None) -> float:
-    """The mean longer side of the regions' boxes, from one aggregation, unless given."""
+#: No shape is laid over more cells than this along an axis.
+SPREAD = 256
+
+
+def cell_size(cell: float | None, *shapes: DataFrame) -> float:
+    """The largest mean longer side of the tables' boxes, or what keeps the longest of all within ``SPREAD`` cells."""
     if cell:
         return float(cell)
-    side = regions.agg(F.avg(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0]
-    return float(side) if side and math.isfinite(side) and side > 0 else 1.0
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    found = [df.agg(F.avg(side).alias("mean"), F.max(side).alias("longest")).first() for df in shapes]
+    size = max([v for r in found for v in (r.mean, r.longest / SPREAD if r.longest else 0.0) if v and math.isfinite(v)], default=0.0)
+    return float(size) if size > 0 else 1.0
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs of points (x, y, ...) and regions (region_id, geom, minx .. maxy) that hold them, boundary included."""
-    size = cell_size(regions, cell)
+    size = cell_size(cell, regions)
     r = regions.withColumn("edges", G.edges(F.col("geom"))).withColumn("_cx", _cells(F.col("minx"), F.col("maxx"), size))
     r = r.withColumn("_cy", _cells(F.col("miny"), F.col("maxy"), size)).drop("geom")
     p = points.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
@@ -45,18 +51,26 @@ def points_in_regions(points: DataFrame, regions: DataFrame, cell: float | None
 
 @F.arrow_udf(DoubleType())
 def _shared_area(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([K.intersection_area(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    """Null geometries are pairs that were settled before."""
+    return pa.array([0.0 if x is None else K.intersection_area(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 def regions_meeting(values: DataFrame, regions: DataFrame, cell: float | None = None) -> DataFrame:
-    """Pairs of shapes and regions whose boxes meet; each pair once, with both geometries (geom, region_geom)."""
-    size = cell_size(regions, cell)
+    """Pairs of shapes and regions whose boxes meet; each pair once.
+
+    With both geometries (geom, region_geom), whether both are their bounding boxes, and the area these share.
+    """
+    size = cell_size(cell, regions, values)
     r = regions.select("region_id", F.col("geom").alias("region_geom"), *(F.col(c).alias(f"r_{c}") for c in ("minx", "miny", "maxx", "maxy")))
+    r = r.withColumn("_r_box", is_box("region_geom", "r_"))
+    values = values.withColumn("_box", is_box())
     r = r.withColumn("_cx", _cells(F.col("r_minx"), F.col("r_maxx"), size)).withColumn("_cy", _cells(F.col("r_miny"), F.col("r_maxy"), size))
     v = values.withColumn("_cx", _cells(F.col("minx"), F.col("maxx"), size)).withColumn("_cy", _cells(F.col("miny"), F.col("maxy"), size))
     pairs = v.join(r, ["_cx", "_cy"]).where("minx <= r_maxx and maxx >= r_minx and miny <= r_maxy and maxy >= r_miny")
     first = (F.col("_cx") == F.floor(F.greatest("minx", "r_minx") / size)) & (F.col("_cy") == F.floor(F.greatest("miny", "r_miny") / size))
-    return pairs.where(first).drop("_cx", "_cy", "r_minx", "r_miny", "r_maxx", "r_maxy")
+    shared = (F.least("maxx", "r_maxx") - F.greatest("minx", "r_minx")) * (F.least("maxy", "r_maxy") - F.greatest("miny", "r_miny"))
+    pairs = pairs.where(first).withColumns({"boxes": F.col("_box") & F.col("_r_box"), "box_area": shared})
+    return pairs.drop("_cx", "_cy", "_box", "_r_box", "r_minx", "r_miny", "r_maxx", "r_maxy")
 
 
 #: Aggregate functions by name; a callable from a column to a column is taken too.
@@ -82,11 +96,14 @@ def aggregate_pairs(values: Element, by: Element, keys: list[str], fractions: bo
         return points_in_regions(values.df.select("id", "x", "y", *keys), regions, cell).withColumn("fraction", F.lit(1.0))
     own = as_polygons(values, quad).df.select("id", "geom", "minx", "miny", "maxx", "maxy", *keys)
     pairs = regions_meeting(own, regions, cell)
+    # only pairs that aren't two boxes need their geometry compared
+    unsettled = [F.when(~F.col("boxes"), F.col(g)) for g in ("geom", "region_geom")]
     if fractions:
-        pairs = pairs.withColumn("fraction", _shared_area("geom", "region_geom") / G.area(F.col("geom"))).where("fraction > 0")
+        area = F.when(F.col("boxes"), F.col("box_area")).otherwise(_shared_area(*unsettled))
+        pairs = pairs.withColumn("fraction", area / G.area(F.col("geom"))).where("fraction > 0")
     else:
-        pairs = pairs.where(shapes_meet("geom", "region_geom")).withColumn("fraction", F.lit(1.0))
-    return pairs.drop("geom", "region_geom", "minx", "miny", "maxx", "maxy")
+        pairs = pairs.where(F.col("boxes") | shapes_meet(*unsettled)).withColumn("fraction", F.lit(1.0))
+    return pairs.drop("geom", "region_geom", "boxes", "box_area", "minx", "miny", "maxx", "maxy")
 
 
 def aggregate_shapes(values: Element, by: Element, value_key: str | list[str] | None = None, agg_func="sum", cs: str = GLOBAL, fractions: bool = False, categorical: bool | None = None, fill: bool = True, cell: float | None = None, quad: int = 16) -> DataFrame:

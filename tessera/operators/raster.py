@@ -424,18 +424,19 @@ def instance_tiles(e: Element, image: Element, scale: float = 1.0, cs: str = GLO
 def tile_batches(tiles: DataFrame, channels: int, side: int, labels: DataFrame | None = None) -> Iterator[tuple[object, np.ndarray, dict]]:
     """(instance, array of channels x side x side, its annotation) one after the other, a partition at a time.
 
-    ``tiles`` is what ``instance_tiles`` gives; tiles are cut or filled with 0 to ``side``. ``labels``: a frame with
-    ``instance_id`` whose other columns annotate.
+    ``tiles`` is what ``instance_tiles`` gives; each tile, whatever its size, is resampled to ``side`` pixels along
+    both axes (nearest pixel). ``labels``: a frame with ``instance_id`` whose other columns annotate.
     """
     if labels is not None:
         tiles = tiles.join(labels, "instance_id", "left")
     extra = [c for c in tiles.columns if c not in ("instance_id", "minx", "miny", "maxx", "maxy", "pixels")]
     for r in tiles.toLocalIterator(prefetchPartitions=True):
-        out = np.zeros((channels, side, side))
-        for p in r["pixels"]:
-            if p["y"] < side and p["x"] < side:
-                out[p["c"], p["y"], p["x"]] = p["value"]
-        yield r["instance_id"], out, {c: r[c] for c in extra}
+        at = np.array([(p["c"], p["y"], p["x"]) for p in r["pixels"]], int).reshape(-1, 3)
+        h, w = at[:, 1:].max(0) + 1 if len(at) else (1, 1)
+        own = np.zeros((channels, h, w))
+        own[tuple(at.T)] = [p["value"] for p in r["pixels"]]
+        pick = lambda n: ((np.arange(side) + 0.5) * n / side).astype(int)
+        yield r["instance_id"], own[:, pick(h)[:, None], pick(w)[None, :]], {c: r[c] for c in extra}
 
 
 def transform_to_extent(elements: dict[str, Element], cs: str = GLOBAL, target_width: int | None = None, unit_to_pixels: float | None = None) -> dict[str, Element]:

@@ -111,7 +111,15 @@ def _query_ring(e: Element, box: BoundingBox) -> list:
 
 @F.arrow_udf(BooleanType())
 def shapes_meet(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([K.intersects(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+    """Null geometries are pairs that were settled before."""
+    return pa.array([x is not None and K.intersects(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+
+
+def is_box(geom: str = "geom", prefix: str = "") -> Column:
+    """Whether a polygon is its own bounding box: one ring of four corners that covers it."""
+    g = F.col(geom)
+    whole = (F.col(f"{prefix}maxx") - F.col(f"{prefix}minx")) * (F.col(f"{prefix}maxy") - F.col(f"{prefix}miny"))
+    return (F.size(g) == 1) & (F.size(g[0]) == 1) & (F.size(g[0][0]) == 5) & (F.abs(G.area(g) - whole) <= whole * 1e-12)
 
 
 def shapes_meeting(df: DataFrame, geom: list, circles: bool) -> DataFrame:
@@ -120,9 +128,11 @@ def shapes_meeting(df: DataFrame, geom: list, circles: bool) -> DataFrame:
     (lx, ly), (hx, hy) = pts.min(0), pts.max(0)
     near = (F.col("minx") <= float(hx)) & (F.col("maxx") >= float(lx)) & (F.col("miny") <= float(hy)) & (F.col("maxy") >= float(ly))
     df = df.where(near)
-    inside = _is_axis_box(geom) and (F.col("minx") >= float(lx)) & (F.col("maxx") <= float(hx)) & (F.col("miny") >= float(ly)) & (F.col("maxy") <= float(hy))
-    meets = shapes_meet(F.col("geom"), G.geom_literal(geom))
-    return df.where(inside | meets if inside is not False else meets)
+    if not _is_axis_box(geom):
+        return df.where(shapes_meet(F.col("geom"), G.geom_literal(geom)))
+    inside = (F.col("minx") >= float(lx)) & (F.col("maxx") <= float(hx)) & (F.col("miny") >= float(ly)) & (F.col("maxy") <= float(hy))
+    known = inside if circles else inside | is_box()
+    return df.where(known | shapes_meet(F.when(~known, F.col("geom")), G.geom_literal(geom)))
 
 
 def _is_axis_box(geom: list) -> bool:
@@ -155,7 +165,7 @@ def _raster_box(e: Element, box: BoundingBox, request_only: bool = False):
         return {a: slice(*s) for a, s in slices.items()}
     if any(b <= a for a, b in slices.values()):
         return None
-    keep, sizes, moved = [], {}, []
+    keep, sizes, moved, spans = [], {}, [], {}
     for scale in sorted(e.attrs["sizes"]):
         f = {a: e.size()[a] / e.size(scale)[a] for a in window}
         first = {a: max(0, int(np.ceil(lo / f[a] - 0.5))) for a, (lo, _) in window.items()}
@@ -166,7 +176,8 @@ def _raster_box(e: Element, box: BoundingBox, request_only: bool = False):
         test = reduce(lambda p, q: p & q, [(F.col(a) >= first[a]) & (F.col(a) < last[a]) for a in window], F.col("scale") == scale)
         keep.append(test)
         moved.append((scale, first))
-    df = e.df.where(reduce(lambda p, q: p | q, keep))
+        spans[scale] = {a: (first[a], last[a]) for a in window}
+    df = (e.window(spans) if e.window else e.df).where(reduce(lambda p, q: p | q, keep))
     for a in window:
         shift = reduce(lambda acc, s: F.when(F.col("scale") == s[0], s[1][a]).otherwise(acc), moved, F.lit(0))
         df = df.withColumn(a, (F.col(a) - shift).cast(e.df.schema[a].dataType))

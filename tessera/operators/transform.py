@@ -73,7 +73,13 @@ def resample(e: Element, back: np.ndarray, axes: tuple[str, ...], size: dict[str
         rest = F.floor(rest / size[a])
     at = [F.col(a) + 0.5 for a in axes]
     grid = grid.select(*axes, *(F.floor(linear_column(back[i], at)).cast("int").alias(f"_{a}") for i, a in enumerate(axes)))
-    src = e.df.where(F.col("scale") == scale)
+    # only source pixels within the hull of the grid's centres can be met
+    from tessera.operators.spatial import box_corners
+
+    hull = box_corners([0.5] * len(axes), [size[a] - 0.5 for a in axes]) @ back[:-1, :-1].T + back[:-1, -1]
+    inside = {a: (max(0, int(np.floor(hull[:, i].min())) - 1), min(e.size(scale)[a], int(np.floor(hull[:, i].max())) + 2)) for i, a in enumerate(axes)}
+    whole = e.df if e.window is None or any(b <= a for a, b in inside.values()) else e.window({scale: inside})
+    src = whole.where(reduce(lambda p, q: p & q, [F.col(a).between(lo, hi - 1) for a, (lo, hi) in inside.items()], F.col("scale") == scale))
     src = src.select(*(F.col(a).alias(f"_{a}") for a in axes), *(["c"] if "c" in e.attrs["dims"] else []), "value")
     if "c" in e.attrs["dims"]:
         chans = spark.range(len(e.attrs.get("channels") or [0])).select(F.col("id").cast("int").alias("c"))
@@ -126,12 +132,22 @@ def transform_between(elements: dict[str, Element], source: str, target: str, vi
     return CoordinateGraph.of({n: e.transforms for n, e in elements.items()}).between(source, target, via, shortest)
 
 
+#: Landmarks are brought to the driver, so their number has a bound.
+MOST_LANDMARKS = 10_000
+
+
 def align_by_landmarks(moving: Element, reference: Element, moving_marks: Element, reference_marks: Element, cs: str, new_cs: str) -> tuple[Element, Element, Transform]:
     """Both elements in ``new_cs``, the moving one by the similarity that its landmarks ask for.
 
-    Landmarks are dozens of rows at most; they are read in order of id.
+    Landmarks are dozens of rows at most; they are read in order of id. More than ``MOST_LANDMARKS`` are refused.
     """
-    read = lambda e: np.array([tuple(r) for r in e.df.orderBy("id").select("x", "y").limit(10_000).collect()])
+
+    def read(e: Element) -> np.ndarray:
+        rows = e.df.orderBy("id").select("x", "y").limit(MOST_LANDMARKS + 1).collect()
+        if len(rows) > MOST_LANDMARKS:
+            raise ValueError(f"more than {MOST_LANDMARKS} landmarks")
+        return np.array([tuple(r) for r in rows])
+
     t = landmarks_transform(read(moving_marks), read(reference_marks))
     base = reference.transforms.get(cs, Identity())
     return set_transform(moving, Sequence([moving.transforms.get(cs, Identity()), t]), new_cs), set_transform(reference, base, new_cs), t

@@ -706,14 +706,19 @@ def concatenate_datasets(spark, d):
     return both.tables["stats"].obs.groupBy("region").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT p_brand AS name, regexp_replace(p_brand, '[^A-Za-z0-9_.\\-]', '_', 'g') AS clean FROM part")
+@query("WITH n AS (SELECT DISTINCT '__' || p_brand || ' @' AS name FROM part UNION ALL SELECT '___index') SELECT name, CASE WHEN name = '___index' THEN 'index' ELSE regexp_replace(regexp_replace(name, '[^A-Za-z0-9_.\\-]', '_', 'g'), '^_{2,}', '_') END AS clean FROM n")
 def sanitize_names(spark, d):
-    """The rule of names as an expression (ASCII names)."""
-    return read(spark, d, "part").select(F.col("p_brand").alias("name")).distinct().withColumn("clean", F.regexp_replace("name", r"[^A-Za-z0-9_.\-]", "_"))
+    """The brands (a fixed list) as names of columns."""
+    names = [r[0] for r in read(spark, d, "part").select(F.concat(F.lit("__"), "p_brand", F.lit(" @"))).distinct().collect()]
+    return spark.createDataFrame(sorted(M.sanitize_names([*names, "___index"]).items()), "name string, clean string")
 
 
 def _stored(spark: SparkSession, d: Dataset) -> Dataset:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
     path = f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/store-{uuid.uuid4().hex}"
     store.write(spark, d, path)
     return store.read(spark, path)
@@ -740,3 +745,99 @@ def store_table(spark, d):
     ds = customer_data(spark, d)
     t = _stored(spark, Dataset({}, {"stats": ds.tables["stats"]})).tables["stats"]
     return t.x.join(t.var, "var_pos").select("obs_pos", "var_name", "value")
+
+
+# -- containers, rasters and transforms together --------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, d: str) -> Dataset:
+    """Points, squares and a raster in one system, and customers' table beside them."""
+    ds = customer_data(spark, d)
+    return Dataset({**ds.elements, "squares": supplier_squares(spark, d), "parts": part_raster(spark, d)}, ds.tables)
+
+
+_TWO = [[[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]], [[(20.0, 0.0), (40.0, 0.0), (40.0, 6.0), (20.0, 6.0), (20.0, 0.0)]]]
+
+
+@query(f"WITH {PIXELS} SELECT CAST(y AS INTEGER) AS y, CAST(x - 3 AS INTEGER) AS x, value FROM px WHERE x BETWEEN 3 AND 29 AND y BETWEEN 0 AND 11 AND value <> 0")
+def polygon_query_raster(spark, d):
+    """A raster is cut to the polygon's box."""
+    tri = [[[(3.0, -4.0), (30.0, 2.0), (12.0, 12.0), (3.0, -4.0)]]]
+    return S.polygon_query(part_raster(spark, d), tri).df.where("value <> 0").select("y", "x", "value")
+
+
+@query(f"WITH {SQUARES}, {PIXELS}, q AS (SELECT * FROM (VALUES (0, 0, 10, 10), (20, 0, 40, 6)) q(a, b, c, e)) "
+    "SELECT 'customers' AS element, c_custkey AS id FROM customer JOIN q ON c_custkey BETWEEN a AND c AND c_nationkey BETWEEN b AND e "
+    "UNION ALL SELECT DISTINCT 'squares', id FROM squares JOIN q ON minx <= c AND maxx >= a AND miny <= e AND maxy >= b "
+    "UNION ALL SELECT 'stats', c_custkey FROM customer JOIN q ON c_custkey BETWEEN a AND c AND c_nationkey BETWEEN b AND e "
+    "UNION ALL SELECT 'parts', y * 1000 + x FROM px WHERE x < 40 AND y < 10 AND value <> 0")
+def polygon_query_dataset(spark, d):
+    """A multipolygon over all elements of a dataset; its table follows."""
+    found = _mixed(spark, d).polygon_query(_TWO)
+    parts = [found.elements[n].df.select(F.lit(n).alias("element"), "id") for n in ("customers", "squares")]
+    parts.append(found.tables["stats"].obs.select(F.lit("stats").alias("element"), F.col("instance_id").alias("id")))
+    parts.append(found.elements["parts"].df.where("value <> 0").select(F.lit("parts").alias("element"), (F.col("y") * 1000 + F.col("x")).cast("long").alias("id")))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {PIXELS}, l1 AS (SELECT y // 2 AS y, x // 2 AS x, avg(value) AS value FROM px WHERE {_LEVEL} GROUP BY ALL) SELECT 0 AS scale, CAST(2 * y + j AS INTEGER) AS y, CAST(2 * x + i AS INTEGER) AS x, value FROM px, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE value <> 0 UNION ALL SELECT 1, CAST(2 * y + j AS INTEGER), CAST(2 * x + i AS INTEGER), value FROM l1, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) WHERE value <> 0")
+def transform_multiscale(spark, d):
+    """Every scale resampled under a scaling by two; levels with whole numbers of pixels only."""
+    e = P.pyramid(part_raster(spark, d), [2])
+    e.transforms = {"big": Scale([2.0, 2.0], ("y", "x"))}
+    return T.transform(e, "big").df.where("value <> 0").select("scale", "y", "x", "value")
+
+
+@query(f"WITH {SQUARES} SELECT 'customers' AS element, c_custkey AS id, c_custkey * 2.0::DOUBLE + 1 AS x, c_nationkey * 3.0::DOUBLE AS y FROM customer UNION ALL SELECT 'squares', id, minx - 5, miny + 7 FROM squares")
+def transform_dataset(spark, d):
+    """Every element of a dataset in one coordinate system, each by its own transform."""
+    ds = customer_data(spark, d)
+    ds.elements["customers"].transforms["lab"] = Sequence([Scale([2.0, 3.0], ("x", "y")), Translation([1.0, 0.0], ("x", "y"))])
+    ds["squares"] = M.Element("shapes", supplier_squares(spark, d).df, {"lab": Translation([-5.0, 7.0], ("x", "y"))}, {})
+    out = ds.transform_to("lab").elements
+    return out["customers"].df.select(F.lit("customers").alias("element"), "id", "x", "y").union(out["squares"].df.select(F.lit("squares").alias("element"), "id", F.col("minx"), F.col("miny")))
+
+
+@query(f"WITH {ITEMS} SELECT id, round(10 - 2 * y, 6) AS x, round(2 * x + 5, 6) AS y FROM items")
+def align_by_landmarks(spark, d):
+    """A quarter turn, doubled and moved, found from four landmarks and applied to the items."""
+    marks = lambda pts: M.points(spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, x double, y double"))
+    own = [(0, 0), (4, 0), (4, 3), (0, 7)]
+    e = item_points(spark, d)
+    moved, _, _ = T.align_by_landmarks(e, e, marks(own), marks([(10 - 2 * y, 2 * x + 5) for x, y in own]), M.GLOBAL, "aligned")
+    return T.transform(moved, "aligned").df.select("id", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y")))
+
+
+@query(f"WITH {ITEMS}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0 FROM items) SELECT id, round((x - x0) * 200 / (x1 - x0), 6) AS x, round((y - y0) * 200 / (x1 - x0), 6) AS y FROM items, e")
+def transform_to_extent(spark, d):
+    """The items moved and scaled so that their extent begins at 0 and is 200 wide."""
+    out = P.transform_to_extent({"items": item_points(spark, d)}, target_width=200)["items"]
+    return out.df.select("id", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y")))
+
+
+@query("SELECT c_custkey AS id, c_custkey AS instance_id FROM customer WHERE c_mktsegment = 'BUILDING'")
+def match_dataset_to_table(spark, d):
+    """A dataset cut to the instances that its (filtered) table annotates."""
+    ds = customer_data(spark, d)
+    t = ds.tables["stats"]
+    ds.tables["stats"] = t.with_obs(t.obs.where("c_mktsegment = 'BUILDING'"))
+    found = ds.match_to_table("stats")
+    return found.elements["customers"].df.select("id").join(found.tables["stats"].obs.select("instance_id"), F.col("id") == F.col("instance_id"))
+
+
+@query(f"WITH {EVENTS}, {grid_sql(4.0)}, mv AS (SELECT id, x * 2.0 + 1 AS x, y + 0.5 AS y, value FROM ev), j AS (SELECT region_id, sum(value) AS value FROM mv JOIN grid ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1) SELECT g.region_id, coalesce(round(CAST(value AS DOUBLE), 6), 0) AS value FROM grid g LEFT JOIN j USING (region_id)")
+def agg_under_transforms(spark, d):
+    """Points under a scaling, summed by regions under another system's identity: both are aligned first."""
+    e = event_points(spark, d)
+    e.transforms = {"lab": Sequence([Scale([2.0, 1.0], ("x", "y")), Translation([1.0, 0.5], ("x", "y"))])}
+    by = nation_grid(spark, d, 4.0)
+    by.transforms = {"lab": Translation([0.0, 0.0], ("x", "y"))}
+    return A.aggregate_shapes(e, by, "value", "sum", cs="lab").select("region_id", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query(f"WITH {ITEMS}, b AS (SELECT CAST(floor((x - 1) * 2 / 5) AS INTEGER) AS px, CAST(floor(y * 2 / 5) AS INTEGER) AS py, quantity FROM items WHERE x >= 1 AND x < 51 AND y >= 0 AND y < 50) SELECT px AS x, py AS y, CAST(sum(quantity) AS DOUBLE) AS value FROM b GROUP BY ALL")
+def rasterize_any(spark, d):
+    """The entry point for any element, under a transform: items as an image of 20 by 20 pixels."""
+    e = item_points(spark, d)
+    e.transforms = {"lab": Translation([-1.0, 0.0], ("x", "y"))}
+    return P.rasterize(e, (0.0, 0.0), (50.0, 50.0), cs="lab", value_key="quantity", agg="sum", width=20).df.select("x", "y", "value")

@@ -9,10 +9,15 @@ tiles partitioned by scale.
 from __future__ import annotations
 
 import json
+import uuid
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -25,6 +30,10 @@ from tessera.transforms import from_dict
 
 #: Version of the layout of each kind; readers take all versions up to it.
 VERSIONS = {"dataset": 1, "points": 1, "shapes": 1, "image": 1, "labels": 1, "table": 1}
+#: What missing, truncated and malformed files raise; any other error is not the files' fault.
+BAD_FILES = (OSError, KeyError, ValueError, PySparkException)
+
+
 @dataclass
 class Settings:
     """Defaults of what is written: pixels along a tile, and the Parquet codec."""
@@ -80,6 +89,31 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def _replace(spark: SparkSession, path: str, build: Callable[[str], None]) -> None:
+    """Builds aside and renames: what was at the path stays until the new data is whole, also when building fails."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    new, old = (f"{folder}/.{name}-{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    try:
+        build(new)
+        had = exists(spark, path)
+        if had:
+            _rename(spark, path, old)
+        _rename(spark, new, path)
+    except BaseException:
+        _delete(spark, new)
+        if exists(spark, old) and not exists(spark, path):
+            _rename(spark, old, path)
+        raise
+    if had:
+        _delete(spark, old)
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    p, fs = _fs(spark, source)
+    if not fs.rename(p, _fs(spark, target)[0]):
+        raise OSError(f"{source} can't be renamed to {target}")
+
+
 # -- encoding -------------------------------------------------------------------------------------------------------
 
 
@@ -100,13 +134,19 @@ def to_tiles(e: Element, tile: int = 256) -> DataFrame:
     """(scale, [c, z,] ty, tx, h, w, data): dense tiles of pixels in row order; missing pixels are 0."""
     lead = [d for d in e.attrs["dims"] if d in ("c", "z")]
     size = F.create_map(*(x for k, s in e.attrs["sizes"].items() for x in (F.lit(k), F.struct(F.lit(s["y"]).alias("y"), F.lit(s["x"]).alias("x")))))[F.col("scale")]
+    kind, number = ("double", np.float64) if e.kind == "image" else ("bigint", np.int64)
     df = e.df.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
     df = df.withColumns({"h": F.least(F.lit(tile), size["y"] - F.col("ty") * tile), "w": F.least(F.lit(tile), size["x"] - F.col("tx") * tile)})
     at = (F.col("y") - F.col("ty") * tile) * F.col("w") + F.col("x") - F.col("tx") * tile
-    kind = "double" if e.kind == "image" else "bigint"
-    grouped = df.groupBy("scale", *lead, "ty", "tx", "h", "w").agg(F.map_from_entries(F.collect_list(F.struct(at.cast("int"), F.col("value").cast(kind)))).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast(kind)))
-    return grouped.withColumn("data", data).drop("m")
+    key = ["scale", *lead, "ty", "tx", "h", "w"]
+    df = df.select(*(F.col(k).cast("int").alias(k) for k in key), at.cast("int").alias("at"), F.coalesce(F.col("value").cast(kind), F.lit(0).cast(kind)).alias("value"))
+
+    def dense(part: pa.Table) -> pa.Table:
+        data = np.zeros(part["h"][0].as_py() * part["w"][0].as_py(), number)
+        data[part["at"].to_numpy()] = part["value"].to_numpy()
+        return pa.table({**{k: part[k].slice(0, 1) for k in key}, "data": pa.ListArray.from_arrays(pa.array([0, len(data)], pa.int32()), pa.array(data))})
+
+    return df.groupBy(*key).applyInArrow(dense, ", ".join(f"{k} int" for k in key) + f", data array<{kind}>")
 
 
 def from_tiles(df: DataFrame, dims: tuple[str, ...], tile: int) -> DataFrame:
@@ -115,6 +155,22 @@ def from_tiles(df: DataFrame, dims: tuple[str, ...], tile: int) -> DataFrame:
     return df.withColumns({"y": y.cast("int"), "x": x.cast("int")}).select("scale", *dims, "value")
 
 
+def tiles_meeting(df: DataFrame, windows: dict[int, dict[str, tuple[int, int]]], tile: int) -> DataFrame:
+    """The tiles that meet a window of pixels (first, end) at each scale: comparisons of stored columns."""
+    tests = []
+    for scale, w in windows.items():
+        test = F.col("scale") == scale
+        for axis, col in (("y", "ty"), ("x", "tx")):
+            if axis in w:
+                test = test & (F.col(col) >= w[axis][0] // tile) & (F.col(col) <= (w[axis][1] - 1) // tile)
+        tests.append(test)
+    # bounds over all scales, which the scan can prune by whatever it makes of the alternatives
+    for axis, col in (("y", "ty"), ("x", "tx")):
+        if all(axis in w for w in windows.values()):
+            df = df.where((F.col(col) >= min(w[axis][0] for w in windows.values()) // tile) & (F.col(col) <= (max(w[axis][1] for w in windows.values()) - 1) // tile))
+    return df.where(reduce(lambda a, b: a | b, tests))
+
+
 # -- writing --------------------------------------------------------------------------------------------------------
 
 
@@ -155,35 +211,46 @@ def write_element(spark: SparkSession, path: str, name: str, value: Element | Ta
             raise ValueError(f"{at} exists; pass overwrite=True to replace it")
         if any(_plain(f).startswith(f"{_plain(at)}/") for f in backing_files(value)):
             raise ValueError(f"{at} is being read by what would replace it")
-        _delete(spark, at)
     meta = _meta(kind, value)
-    save = lambda df, where: df.write.option("compression", compression).parquet(f"{at}/{where}")
-    if isinstance(value, Table):
-        for part in ("obs", "var", "x"):
-            if (df := getattr(value, part)) is not None:
-                save(df, part)
-    elif kind in ("image", "labels"):
-        meta["tile"] = tile
-        to_tiles(value, tile).write.option("compression", compression).partitionBy("scale").parquet(f"{at}/data")
-    elif kind == "shapes" and not value.is_circles:
-        save(value.df.withColumn("wkb", _encode("geom")).drop("geom"), "data")
-    else:
-        save(value.df, "data")
-    _write_text(spark, f"{at}/meta.json", json.dumps(meta))
+
+    def build(where: str) -> None:
+        save = lambda df, part: df.write.option("compression", compression).parquet(f"{where}/{part}")
+        if isinstance(value, Table):
+            for part in ("obs", "var", "x"):
+                if (df := getattr(value, part)) is not None:
+                    save(df, part)
+        elif kind in ("image", "labels"):
+            meta["tile"] = tile
+            # tiles of a neighbourhood lie together, so that the files' bounds tell them apart
+            tiles = to_tiles(value, tile).repartitionByRange("scale", "ty", "tx").sortWithinPartitions("scale", "ty", "tx")
+            tiles.write.option("compression", compression).partitionBy("scale").parquet(f"{where}/data")
+        elif kind == "shapes" and not value.is_circles:
+            save(value.df.withColumn("wkb", _encode("geom")).drop("geom"), "data")
+        else:
+            save(value.df, "data")
+        _write_text(spark, f"{where}/meta.json", json.dumps(meta))
+
+    _replace(spark, at, build)
 
 
 def write(spark: SparkSession, d: Dataset, path: str, overwrite: bool = False, **options) -> None:
-    """Writes a dataset to a new path; an existing path is replaced on demand unless the dataset reads from it."""
+    """Writes a dataset to a new path; an existing path is replaced on demand unless the dataset reads from it.
+
+    The new data is written aside first: if that fails, the old dataset is still there.
+    """
     check_names(d.names())
     if exists(spark, path):
         if not overwrite:
             raise ValueError(f"{path} exists; pass overwrite=True to replace it")
         if any(_plain(f).startswith(f"{_plain(path)}/") for _, _, v in d.walk() for f in backing_files(v)):
             raise ValueError(f"{path} is being read by this dataset")
-        _delete(spark, path)
-    for _, name, v in d.walk():
-        write_element(spark, path, name, v, **options)
-    write_attrs(spark, d, path)
+
+    def build(where: str) -> None:
+        for _, name, v in d.walk():
+            write_element(spark, where, name, v, **options)
+        write_attrs(spark, d, where)
+
+    _replace(spark, path, build)
 
 
 def write_attrs(spark: SparkSession, d: Dataset, path: str) -> None:
@@ -224,7 +291,8 @@ def read_element(spark: SparkSession, path: str, kind: str, name: str) -> Elemen
     if kind in ("image", "labels"):
         attrs["dims"], attrs["sizes"] = tuple(attrs["dims"]), {int(k): s for k, s in attrs["sizes"].items()}
         lead = [d for d in attrs["dims"] if d in ("c", "z")]
-        df = from_tiles(df.select("scale", *lead, "ty", "tx", "h", "w", "data"), attrs["dims"], meta["tile"])
+        tiles, dims, tile = df.select("scale", *lead, "ty", "tx", "h", "w", "data"), attrs["dims"], meta["tile"]
+        return Element(kind, from_tiles(tiles, dims, tile), transforms, attrs, lambda windows: from_tiles(tiles_meeting(tiles, windows, tile), dims, tile))
     elif kind == "shapes" and not meta["circles"]:
         df = _decode(df)
     return Element(kind, df, transforms, attrs)
@@ -244,7 +312,7 @@ def read(spark: SparkSession, path: str, selection: tuple[str, ...] | None = Non
         for name in _children(spark, f"{path.rstrip('/')}/{kind}"):
             try:
                 value = read_element(spark, path, kind, name)
-            except Exception as e:  # what Spark and JSON raise for missing and damaged files has no common base
+            except BAD_FILES as e:
                 if on_bad_files == "error":
                     raise
                 warnings.warn(f"{kind}/{name} is left out: {type(e).__name__}: {str(e)[:200]}", stacklevel=2)

@@ -155,8 +155,11 @@ def test_tiles(spark):
     e = M.circles(spark.createDataFrame([(0, 5.0, 5.0, 1.0)], "id long, x double, y double, radius double"))
     r = P.instance_tiles(e, image).first()
     assert sorted((p.y, p.x, p.value) for p in r.pixels) == [(0, 0, 44), (0, 1, 45), (1, 0, 54), (1, 1, 55)]
-    ((who, tile, extra),) = P.tile_batches(P.instance_tiles(e, image), 1, 3, spark.createDataFrame([(0, "a")], "instance_id long, kind string"))
-    assert who == 0 and tile[0].tolist() == [[44, 45, 0], [54, 55, 0], [0, 0, 0]] and extra == {"kind": "a"}
+    ((who, tile, extra),) = P.tile_batches(P.instance_tiles(e, image), 1, 4, spark.createDataFrame([(0, "a")], "instance_id long, kind string"))
+    assert who == 0 and tile[0].tolist() == [[44, 44, 45, 45]] * 2 + [[54, 54, 55, 55]] * 2 and extra == {"kind": "a"}
+    wide = M.circles(spark.createDataFrame([(0, 5.0, 5.0, 4.0)], "id long, x double, y double, radius double"))
+    ((_, tile, _),) = P.tile_batches(P.instance_tiles(wide, image), 1, 2)
+    assert tile[0].tolist() == [[33, 37], [73, 77]]  # the whole tile of 8 by 8 counts, whatever the side
 
 
 def test_many_elements(spark):
