@@ -7,8 +7,9 @@ groups that hold it. The empty term closes each document at position ``n_words``
 *Exact phrases.* The terms of each distinct benchmark window are ranked by their frequency in the index. The postings
 of the rarest, less its offset in the window, are the candidate starts; these are intersected with the offset-adjusted
 list of the next rarest term, and what is left with all other lists at once, by equality joins on (document, position,
-term). Windows and candidates are broadcast while their measured size is under ``BROADCAST_BYTES``; beyond it the
-postings of the terms concerned are shuffled instead, by a key that no single term or document makes hot.
+term): a key that no single term or document makes hot. Of the lists only the postings near a candidate are shuffled,
+told by a bitmap of fixed size. The windows' terms are broadcast while their measured size is under
+``BROADCAST_BYTES``, and joined by term beyond it.
 
 *Proximity.* ``proximity_matches`` takes an item's rarest terms and returns the places where all of them lie
 within ``span`` words, by equality joins on blocks of ``span`` positions.
@@ -80,16 +81,25 @@ def ranked_terms(index: DataFrame, windows: DataFrame) -> tuple[DataFrame, bool]
     return materialize(lists, "ranked-terms"), fits
 
 
+def _near(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """``postings`` in the neighbourhoods (document, block of positions) of ``asked``, with few others.
+
+    A map of 2^26 bits by hash of the neighbourhood goes to every task: 2^20 rows of 64 bits at most, whatever the
+    data. It only thins out what is shuffled; the join behind it is exact.
+    """
+    key = F.pmod(F.xxhash64("doc_id", "row_hash", F.floor(F.col("pos") / 16)), F.lit(1 << 26))
+    bits = asked.select(key.alias("k")).select(F.shiftright("k", 6).alias("word"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("bit"))
+    bits = materialize(bits.groupBy("word").agg(F.bit_or("bit").alias("bits")), "neighbourhoods")
+    return postings.withColumn("k", key).withColumn("word", F.shiftright("k", 6)).join(F.broadcast(bits), "word").where("(shiftright(bits, cast(k & 63 as int)) & 1) = 1").drop("k", "word", "bits")
+
+
 def _intersect(index: DataFrame, found: DataFrame, lists: DataFrame, fits: bool) -> DataFrame:
     """The candidate starts (id, doc_id, row_hash, start) whose document has every one of ``lists`` at its offset."""
     asked = _with_small(found, lists, "id", fits).select("id", "doc_id", "row_hash", "start", (F.col("start") + F.col("offset")).alias("pos"), "term")
-    part = _with_small(index, lists.select("term").distinct(), "term", fits, "left_semi")
+    part = _near(_with_small(index, lists.select("term").distinct(), "term", fits, "left_semi"), asked)
     d, r, p, t = (F.col(f"x.{c}") for c in ("doc_id", "row_hash", "pos", "term"))
     same = F.col("a.doc_id").eqNullSafe(d) & (F.col("a.row_hash") == r) & (F.col("a.pos") == p) & (F.col("a.term") == t)
-    if _small(asked, F.octet_length("term") + 96):
-        met = part.alias("x").join(F.broadcast(asked.alias("a")), same)
-    else:
-        met = asked.alias("a").join(part.alias("x").hint("merge"), same)
+    met = asked.alias("a").join(part.alias("x").hint("merge"), same)
     met = met.groupBy("a.id", "a.doc_id", "a.row_hash", "a.start").agg(F.size(F.collect_set("a.pos")).alias("n"))
     whole = lists.groupBy("id").agg(F.count("*").alias("n"))
     return _with_small(met, whole, ["id", "n"], fits).select("id", "doc_id", "row_hash", "start")
