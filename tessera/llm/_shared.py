@@ -55,8 +55,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 _OPEN = threading.local()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Asks for the driver's garbage to be collected before the next table is written.
+
+    Spark's cleaner removes the files of shuffles that no plan refers to any more, but only learns of them when the
+    driver collects its garbage; on a long job they would otherwise stay on the disks for many steps. By the next
+    write the functions that built the last plans have returned, and with them their references are gone.
+    """
+    _OPEN.stale = True
+
+
 def _write(df: DataFrame, name: str, level: int) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    if getattr(_OPEN, "stale", False):
+        _OPEN.stale = False
+        spark._jvm.System.gc()
     scopes = getattr(_OPEN, "scopes", [])
     if len(scopes) >= level:
         scopes[-level].append(path)
@@ -74,8 +87,6 @@ def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str],
     """Removes the tables that ``materialize`` writes inside when it ends, also by an error.
 
     Gives a function that stores a result beyond the end: it then belongs to the scope around this one, if any.
-    Spark's cleaner removes the files of shuffles that no plan refers to any more once the driver has collected its
-    garbage, so that is asked for too: on a long job they would otherwise stay on the disks for many steps.
     """
     if not hasattr(_OPEN, "scopes"):
         _OPEN.scopes = []
@@ -87,7 +98,7 @@ def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str],
         _OPEN.scopes.pop()
         for path in paths:
             drop_path(spark, path)
-        spark._jvm.System.gc()
+        let_go(spark)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
