@@ -7,7 +7,9 @@ fingerprints are compared where their block sizes agree (equal, or one twice the
 ``1 - d / (len a + len b)``, d being the edit distance with insertions and deletions, computed bit-parallel for
 many pairs at once. Signatures of incompatible block sizes have likeness 0; equal fingerprints have 1.
 
-Defined results: null text counts as empty, whose fingerprint is ``1::``; equal texts have equal fingerprints.
+Defined results: null text counts as empty, whose fingerprint is ``1::``; equal texts have equal fingerprints; a null
+doc_id comes after all others; repeated rows each get their own row, neighbours in the order; very long texts are hashed
+whole, a few arrays of a word for each byte; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -189,17 +191,18 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
         before = None
         end = lambda kind, row: pa.RecordBatch.from_pylist([{"kind": kind, "part": part, "doc_id": row[0], "text": row[1], "fingerprint": row[2]}], schema)
         for b in batches:
-            items = []
+            items, size = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 row = (doc_id, text, fingerprint(text.encode("utf-8", "surrogatepass")))
                 if before is None:
                     yield end(1, row)
                 else:
                     items.append((*row, *before[1:]))
+                    size += len(text)
                 before = row
-                if len(items) >= 2000:
+                if size >= 2_000_000 or len(items) >= 2000:
                     yield _batch(items, part, schema)
-                    items = []
+                    items, size = [], 0
             if items:
                 yield _batch(items, part, schema)
         if before is not None:

@@ -7,7 +7,9 @@ taken off before it is scored, so a text is judged by what the rest of the corpu
    folder: later steps find the same documents in the same order however often a task runs.
 2. *Count tables, partitioned by hash.* Each batch explodes its n-grams, counts the distinct ones, and sends each
    partition of the hash space its slice (sorted hashes and counts, packed). However common an n-gram is, a batch
-   sends it once. A partition adds the slices of all batches up.
+   sends it once. A partition adds the slices of all batches up. The number of partitions grows with the corpus and
+   that of a batch's slices with it, up to one for each of its distinct n-grams and never beyond: in the limit a slice
+   is a row (n-gram hash, batch, count).
 3. *Join.* Each slice returns to its batch as the corpus counts of its n-grams, in the same order. The batch joins
    them to its exploded n-grams, takes each document's own counts off, and sums per document:
    ``log(c(w1..wk) / c(w1..wk-1))`` where the n-gram occurs elsewhere, else ``log(alpha)`` plus the score of the
@@ -31,15 +33,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import LOWER, SPACE, byte_words, chunks, doc_of, materialize, mix64, string_list
+from tessera.llm._shared import LOWER, SPACE, byte_words, chunks, doc_of, materialize, mix64, string_list, temporary_tables
+
+
+#: Fewer integers than this are packed as they are: a frame's head would outweigh what it saves.
+_FEW = 32
 
 
 def pack_integers(values: np.ndarray) -> bytes:
     """Unsigned integers, byte planes apart, compressed."""
+    if len(values) < _FEW:
+        return values.tobytes()
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T).tobytes())
 
 
 def unpack_integers(raw: bytes, dtype: str, n: int) -> np.ndarray:
+    if n < _FEW:
+        return np.frombuffer(raw, dtype, n)
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, n)
     return np.ascontiguousarray(planes.T).view(dtype).reshape(n)
 
@@ -98,10 +108,15 @@ def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray],
 
 
 def score_documents(docs: DataFrame, order: int = 2, alpha: float = 0.4, batch_chars: int = 4_000_000, part_ngrams: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log, n_backoff) of every whole text."""
+    """(doc_id, n_words, log_score, mean_log, n_backoff) of every whole text; a stored table."""
+    with temporary_tables(docs.sparkSession) as keep:
+        return keep(_scores(docs, order, alpha, batch_chars, part_ngrams), "scores")
+
+
+def _scores(docs: DataFrame, order: int, alpha: float, batch_chars: int, part_ngrams: int) -> DataFrame:
     batches = materialize(make_batches(docs, batch_chars), "batches")
     total = batches.agg(F.sum("n_words")).first()[0] or 0
-    bits = max(4, math.ceil(math.log2(max(1, order * total / part_ngrams))))
+    bits = min(31, max(4, math.ceil(math.log2(max(1, order * total / part_ngrams)))))
 
     def explode(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -110,11 +125,12 @@ def score_documents(docs: DataFrame, order: int = 2, alpha: float = 0.4, batch_c
                 out: list[tuple] = []
                 for k in range(order):
                     values, counts = np.unique(hashes[k][valid[k]], return_counts=True)
-                    edges = np.searchsorted(values, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                    for p, (i, j) in enumerate(zip(edges, np.append(edges[1:], len(values)))):
-                        if j > i:
-                            deltas = np.diff(values[i:j], prepend=np.uint64(0))
-                            out.append((p, k, row["batch"], int(j - i), pack_integers(deltas), pack_integers(counts[i:j].astype(np.uint32))))
+                    part = (values >> np.uint64(64 - bits)).astype(np.int64)
+                    begin = np.flatnonzero(np.diff(part, prepend=-1))
+                    # only parts that the batch has n-grams in: no more slices than n-grams, however many parts there are
+                    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(values)]):
+                        deltas = np.diff(values[i:j], prepend=np.uint64(0))
+                        out.append((int(part[i]), k, row["batch"], j - i, pack_integers(deltas), pack_integers(counts[i:j].astype(np.uint32))))
                 if out:
                     cols = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], ["part", "k", "batch", "n", "hashes", "counts"])

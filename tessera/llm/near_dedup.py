@@ -12,8 +12,10 @@
    that are now connected need no more tests. For buckets that still hold several components, each class gets a
    bitmap of its shingles: those whose bit another class lacks are surely not shared, which bounds the intersection
    from above, so a pair far below the similarity is settled exactly inside the join. What is left is tried against
-   hubs drawn for each bucket, and then each remaining pair of different components is tried. No bucket is capped
-   and no pair that could join two components is left out.
+   hubs drawn for each bucket. In what remains of a bucket of up to ``PAIRWISE`` classes each pair of different
+   components is tried; in a larger one the pairs that share one of the shingles that are rarest in the bucket: of a
+   set of n, similar ones must share one of the n - ceil(0.8 n) + 1 rarest, so what all classes of the bucket have
+   (boilerplate) makes no pairs. No bucket is capped and no pair that could join two components is left out.
 4. *Verification.* Exact similarity of the full shingle sets from whole texts, streamed by hub; a hub with many
    members is dealt over several tasks.
 5. *Components* of the verified links (``components.py``).
@@ -36,6 +38,8 @@ from tessera.llm._shared import LOWER, SPACE, byte_words, flat_batches, free_nam
 from tessera.llm.components import connected_components
 
 _FRACTION = np.uint64((1 << 48) - 1)
+#: Open buckets of more classes are searched by their rarest shingles instead of pair by pair.
+PAIRWISE = 200
 #: What makes a class.
 _KEY = ["row_hash", "set_a", "set_b", "n_shingles"]
 
@@ -170,6 +174,40 @@ def shingle_bits(texts: DataFrame, shingle: int, bits: int = 4096) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "rep long, bits array<long>")
 
 
+def class_elements(texts: DataFrame, shingle: int) -> DataFrame:
+    """(rep, element): the distinct shingles, by hash, of each class of ``texts`` (id, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, all_texts in flat_batches(batches):
+            ids = batch.column(0).to_numpy()
+            for i in range(0, len(all_texts), 4096):
+                part = all_texts[i : i + 4096]
+                hashes, offsets, _ = byte_words(part, SPACE, LOWER)
+                v, owner = distinct_sets(*shingles(hashes, offsets, shingle), len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(v.view(np.int64))], ["rep", "element"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, element long")
+
+
+def rare_pairs(pool: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(u, v): the pairs of classes of one bucket and different components that share a shingle rare enough in it.
+
+    ``pool``: (bucket, rep, n, part). In each bucket a class's shingles are ordered by how many classes have them.
+    Those that no other has come first and can't be shared; of the others only as many are looked up as it takes.
+    """
+    inside = pool.select(F.col("rep").alias("id")).distinct()
+    elements = class_elements(texts.join(inside.hint("merge"), "id", "left_semi"), shingle)
+    rows = materialize(pool.select("bucket", "rep", "n", "part").join(elements, "rep"), "bucket-elements")
+    shared = rows.groupBy("bucket", "element").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("bucket", "rep")
+    rows = rows.join(shared, ["bucket", "element"])
+    rows = rows.withColumns({"k": F.count("*").over(own), "place": F.row_number().over(own.orderBy("df", "element"))})
+    rows = rows.where(f"place <= k - ceil({percent} * n / 100) + 1").select("bucket", "element", "rep", "n", "part")
+    other = rows.select("bucket", "element", *(F.col(c).alias(f"o_{c}") for c in ("rep", "n", "part")))
+    found = rows.join(other, ["bucket", "element"]).where(f"part <> o_part and rep > o_rep and 100 * least(n, o_n) >= {percent} * greatest(n, o_n)")
+    return found.select(F.col("o_rep").alias("u"), F.col("rep").alias("v")).distinct()
+
+
 def _may_reach(percent: int) -> str:
     """SQL: whether bitmaps leave it open that a class and its hub have the similarity."""
     lost = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x & ~y)), 0, (s, v) -> s + v)"
@@ -223,13 +261,18 @@ def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
             pool = pool.join(bits, "rep")
         near = low("n", "hub.n") if step == "central" else f"{low('n', 'hub.n')} and {_may_reach(percent)}"
         fields = [c for c in pool.columns if c not in ("bucket", "weight")]
+        many = None
         if step == "rest":
-            found = pool.join(pool.select("bucket", F.struct(*fields).alias("hub")), "bucket").where(f"part <> hub.part and rep > hub.rep and {near}")
+            k = pool.groupBy("bucket").agg(F.count("*").alias("k"))
+            few, many = (pool.join(k.where(f"k {op} {PAIRWISE}"), "bucket", "left_semi") for op in ("<=", ">"))
+            found = few.join(few.select("bucket", F.struct(*fields).alias("hub")), "bucket").where(f"part <> hub.part and rep > hub.rep and {near}")
         else:
             by = F.struct("weight", -F.col("rep")) if step == "central" else F.xxhash64("rep", "bucket")
             hub = pool.groupBy("bucket").agg(F.max_by(F.struct(*fields), by).alias("hub"))
             found = pool.join(hub, "bucket").where(f"part <> hub.part and {near}")
         pairs = found.select(F.col("hub.rep").alias("u"), F.col("rep").alias("v")).distinct()
+        if many is not None and not many.isEmpty():
+            pairs = pairs.union(rare_pairs(many, texts, shingle, percent)).distinct()
         if tested is not None:
             both = tested.union(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
             pairs = pairs.join(both, ["u", "v"], "left_anti")
