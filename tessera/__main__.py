@@ -1,4 +1,4 @@
-"""``python -m tessera peek PATH [KIND ...]``: a summary of a dataset on disk."""
+"""``python -m tessera peek PATH [KIND ...]``: a summary of a dataset on disk, of either kind of store."""
 
 from __future__ import annotations
 
@@ -11,12 +11,18 @@ def main(args: list[str]) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from tessera.sources.store import KINDS, peek
+    from tessera.sources import chunked, store
+    from tessera.sources.store import KINDS
 
     if bad := [k for k in args[2:] if k not in KINDS]:
         print(f"unknown kinds {bad}; known: {', '.join(KINDS)}", file=sys.stderr)
         return 2
-    print(peek(SparkSession.builder.getOrCreate(), args[1], tuple(args[2:]) or None))
+    spark, path, kinds = SparkSession.builder.getOrCreate(), args[1], tuple(args[2:]) or None
+    if store.exists(spark, f"{path.rstrip('/')}/dataset.json"):
+        print(store.peek(spark, path, kinds))
+    else:
+        groups = kinds and tuple(g for g, k in chunked.GROUPS.items() if k in kinds)
+        print(chunked.read(spark, path, groups, "warn").describe())
     return 0
 
 

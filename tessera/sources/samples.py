@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.container import Dataset
-from tessera.model import Table, as_category, circles, points, polygons_from_lists, raster_from_array, table
+from tessera.model import Table, as_category, circles, points, polygons_from_lists, raster, raster_from_array, table
 from tessera.operators.aggregate import as_table, zonal_stats
 from tessera.operators.raster import pyramid
 
@@ -53,9 +53,15 @@ def annotation_for(spark: SparkSession, d: Dataset, name: str) -> Table:
 
 
 def cluster_points(spark: SparkSession, length: int, per_cell: int) -> Dataset:
-    """The benchmark's layout: ``length`` cells as points and ``length * per_cell`` transcripts, generated in the JVM."""
+    """The benchmark's layout, generated in the JVM: an image and labels of ``length`` pixels a side, ``length`` cells as points, and ``length * per_cell`` transcripts."""
     n = length * per_cell
     df = spark.range(n).select("id", (F.rand(1) * length).alias("x"), (F.rand(2) * length).alias("y"), F.pmod("id", F.lit(100)).alias("gene"))
     cells = spark.range(length).select("id", (F.rand(3) * length).alias("x"), (F.rand(4) * length).alias("y"))
     obs = spark.range(length).select(F.col("id").alias("obs_pos"), F.col("id").cast("string").alias("obs_name"), F.lit("cells").alias("region"), F.col("id").alias("instance_id"))
-    return Dataset({"transcripts": points(df), "cells": points(cells)}, {"table": table(obs, region="cells", region_key="region", instance_key="instance_id", check=False)})
+    pixels = spark.range(length * length)
+    at = {"y": F.floor(F.col("id") / length).cast("int"), "x": F.pmod("id", F.lit(length)).cast("int")}
+    image = pixels.select(F.lit(0).alias("c"), *(v.alias(a) for a, v in at.items()), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("value"))
+    labels = pixels.select(*(v.alias(a) for a, v in at.items()), F.floor(F.col("id") / length / 100).cast("long").alias("value"))
+    size = {"y": length, "x": length}
+    rasters = {"blobs_image": raster(image, ("c", "y", "x"), size, [0]), "blobs_labels": raster(labels, ("y", "x"), size)}
+    return Dataset({**rasters, "transcripts": points(df), "cells": points(cells)}, {"table": table(obs, region="cells", region_key="region", instance_key="instance_id", check=False)})

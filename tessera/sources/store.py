@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from collections.abc import Sequence as Seq
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,9 +37,9 @@ BAD_FILES = (OSError, KeyError, ValueError, PySparkException)
 
 @dataclass
 class Settings:
-    """Defaults of what is written: pixels along a tile, and the Parquet codec."""
+    """Defaults of what is written: the pixels of a tile, and the Parquet codec."""
 
-    tile: int = 256
+    tile: int | tuple | dict = 256
     compression: str = "zstd"
 
 
@@ -130,14 +131,50 @@ def _decode(df: DataFrame) -> DataFrame:
     return df.withColumn("geom", decode("wkb")).drop("wkb")
 
 
-def to_tiles(e: Element, tile: int = 256) -> DataFrame:
+#: A tile's size: along both axes, along (y, x), by axis, or as the sizes of all blocks of a regular grid.
+TileSize = int | Seq | Mapping
+
+
+def tile_grid(tile: TileSize, axes: tuple[str, ...] = ("y", "x")) -> tuple[int, ...]:
+    """The pixels of a tile along each axis.
+
+    A sequence has an entry for each axis, a mapping one for each axis by name; channels and planes have tiles of their
+    own, so other axes may only ask for 1. An entry is a number, or the sizes of all blocks, equal but for a smaller
+    last one. Anything else is refused.
+    """
+    if isinstance(tile, Mapping):
+        if missing := [a for a in axes if a not in tile]:
+            raise ValueError(f"no tile size for {missing}")
+        if other := {a: n for a, n in tile.items() if a not in axes and n not in (1, None)}:
+            raise ValueError(f"tiles are one pixel along other axes than {axes}: {other}")
+        sizes = [tile[a] for a in axes]
+    elif isinstance(tile, (list, tuple)):
+        if len(tile) != len(axes):
+            raise ValueError(f"{len(tile)} tile sizes for the axes {axes}")
+        sizes = list(tile)
+    else:
+        sizes = [tile] * len(axes)
+    out = []
+    for axis, n in zip(axes, sizes):
+        if isinstance(n, (list, tuple)):
+            if not n or any(b != n[0] for b in n[:-1]) or n[-1] > n[0]:
+                raise ValueError(f"blocks {n} along {axis} are not a regular grid")
+            n = n[0]
+        if isinstance(n, bool) or not isinstance(n, int) or n < 1:
+            raise ValueError(f"a tile has a whole number of pixels along {axis}, 1 at least, not {n!r}")
+        out.append(n)
+    return tuple(out)
+
+
+def to_tiles(e: Element, tile: TileSize = 256) -> DataFrame:
     """(scale, [c, z,] ty, tx, h, w, data): dense tiles of pixels in row order; missing pixels are 0."""
+    rows, columns = tile_grid(tile)
     lead = [d for d in e.attrs["dims"] if d in ("c", "z")]
     size = F.create_map(*(x for k, s in e.attrs["sizes"].items() for x in (F.lit(k), F.struct(F.lit(s["y"]).alias("y"), F.lit(s["x"]).alias("x")))))[F.col("scale")]
     kind, number = ("double", np.float64) if e.kind == "image" else ("bigint", np.int64)
-    df = e.df.withColumns({"ty": F.floor(F.col("y") / tile).cast("int"), "tx": F.floor(F.col("x") / tile).cast("int")})
-    df = df.withColumns({"h": F.least(F.lit(tile), size["y"] - F.col("ty") * tile), "w": F.least(F.lit(tile), size["x"] - F.col("tx") * tile)})
-    at = (F.col("y") - F.col("ty") * tile) * F.col("w") + F.col("x") - F.col("tx") * tile
+    df = e.df.withColumns({"ty": F.floor(F.col("y") / rows).cast("int"), "tx": F.floor(F.col("x") / columns).cast("int")})
+    df = df.withColumns({"h": F.least(F.lit(rows), size["y"] - F.col("ty") * rows), "w": F.least(F.lit(columns), size["x"] - F.col("tx") * columns)})
+    at = (F.col("y") - F.col("ty") * rows) * F.col("w") + F.col("x") - F.col("tx") * columns
     key = ["scale", *lead, "ty", "tx", "h", "w"]
     df = df.select(*(F.col(k).cast("int").alias(k) for k in key), at.cast("int").alias("at"), F.coalesce(F.col("value").cast(kind), F.lit(0).cast(kind)).alias("value"))
 
@@ -149,25 +186,26 @@ def to_tiles(e: Element, tile: int = 256) -> DataFrame:
     return df.groupBy(*key).applyInArrow(dense, ", ".join(f"{k} int" for k in key) + f", data array<{kind}>")
 
 
-def from_tiles(df: DataFrame, dims: tuple[str, ...], tile: int) -> DataFrame:
+def from_tiles(df: DataFrame, dims: tuple[str, ...], tile: TileSize) -> DataFrame:
+    rows, columns = tile_grid(tile)
     df = df.select(*df.columns[:-1], F.posexplode("data").alias("_i", "value"))
-    y, x = F.floor(F.col("_i") / F.col("w")) + F.col("ty") * tile, F.pmod(F.col("_i"), F.col("w")) + F.col("tx") * tile
+    y, x = F.floor(F.col("_i") / F.col("w")) + F.col("ty") * rows, F.pmod(F.col("_i"), F.col("w")) + F.col("tx") * columns
     return df.withColumns({"y": y.cast("int"), "x": x.cast("int")}).select("scale", *dims, "value")
 
 
-def tiles_meeting(df: DataFrame, windows: dict[int, dict[str, tuple[int, int]]], tile: int) -> DataFrame:
+def tiles_meeting(df: DataFrame, windows: dict[int, dict[str, tuple[int, int]]], tile: TileSize) -> DataFrame:
     """The tiles that meet a window of pixels (first, end) at each scale: comparisons of stored columns."""
-    tests = []
+    tests, sides = [], list(zip(("y", "x"), ("ty", "tx"), tile_grid(tile)))
     for scale, w in windows.items():
         test = F.col("scale") == scale
-        for axis, col in (("y", "ty"), ("x", "tx")):
+        for axis, col, n in sides:
             if axis in w:
-                test = test & (F.col(col) >= w[axis][0] // tile) & (F.col(col) <= (w[axis][1] - 1) // tile)
+                test = test & (F.col(col) >= w[axis][0] // n) & (F.col(col) <= (w[axis][1] - 1) // n)
         tests.append(test)
     # bounds over all scales, which the scan can prune by whatever it makes of the alternatives
-    for axis, col in (("y", "ty"), ("x", "tx")):
+    for axis, col, n in sides:
         if all(axis in w for w in windows.values()):
-            df = df.where((F.col(col) >= min(w[axis][0] for w in windows.values()) // tile) & (F.col(col) <= (max(w[axis][1] for w in windows.values()) - 1) // tile))
+            df = df.where((F.col(col) >= min(w[axis][0] for w in windows.values()) // n) & (F.col(col) <= (max(w[axis][1] for w in windows.values()) - 1) // n))
     return df.where(reduce(lambda a, b: a | b, tests))
 
 
@@ -198,12 +236,10 @@ def _meta(kind: str, v: Element | Table) -> dict:
     return {"kind": kind, "version": VERSIONS[kind], "transforms": {c: t.to_dict() for c, t in v.transforms.items()}, "circles": v.is_circles, "attrs": attrs}
 
 
-def write_element(spark: SparkSession, path: str, name: str, value: Element | Table, overwrite: bool = False, tile: int | None = None, compression: str | None = None) -> None:
+def write_element(spark: SparkSession, path: str, name: str, value: Element | Table, overwrite: bool = False, tile: TileSize | None = None, compression: str | None = None) -> None:
     """Writes one element. An existing one is only replaced on demand, and never while ``value`` reads from it."""
     check_names([name])
-    tile, compression = settings.tile if tile is None else tile, compression or settings.compression
-    if tile < 1:
-        raise ValueError("a tile has one pixel at least")
+    tile, compression = tile_grid(settings.tile if tile is None else tile), compression or settings.compression
     kind = "table" if isinstance(value, Table) else value.kind
     at = f"{path.rstrip('/')}/{kind}/{name}"
     if exists(spark, at):
@@ -220,7 +256,7 @@ def write_element(spark: SparkSession, path: str, name: str, value: Element | Ta
                 if (df := getattr(value, part)) is not None:
                     save(df, part)
         elif kind in ("image", "labels"):
-            meta["tile"] = tile
+            meta["tile"] = list(tile)
             # tiles of a neighbourhood lie together, so that the files' bounds tell them apart
             tiles = to_tiles(value, tile).repartitionByRange("scale", "ty", "tx").sortWithinPartitions("scale", "ty", "tx")
             tiles.write.option("compression", compression).partitionBy("scale").parquet(f"{where}/data")
