@@ -39,14 +39,30 @@ def cell_size(cell: float | None, *shapes: DataFrame) -> float:
     return float(size) if size > 0 else 1.0
 
 
+#: Regions laid over cells are broadcast only while their measured size is below this.
+BROADCAST_BYTES = 32 << 20
+
+
+def _laid(regions: DataFrame, bounds: tuple[str, str, str, str], size: float, geom: str) -> DataFrame:
+    """Regions over the cells that they touch; broadcast if they are small, else hot cells are split by the join."""
+    a, b, c, d = bounds
+    vertices = F.size("edges") if "edges" in regions.columns else F.aggregate(F.flatten(F.col(geom)), F.lit(0), lambda n, ring: n + F.size(ring))
+    cells = (F.floor((F.col(c) - F.col(a)) / size) + 2) * (F.floor((F.col(d) - F.col(b)) / size) + 2)
+    total = regions.agg(F.sum(cells * (vertices * 48 + 160))).first()[0] or 0
+    laid = regions.withColumn("_cx", _cells(F.col(a), F.col(c), size)).withColumn("_cy", _cells(F.col(b), F.col(d), size))
+    return F.broadcast(laid) if total <= BROADCAST_BYTES else laid
+
+
 def points_in_regions(points: DataFrame, regions: DataFrame, cell: float | None = None) -> DataFrame:
     """Pairs of points (x, y, ...) and regions (region_id, geom, minx .. maxy) that hold them, boundary included."""
     size = cell_size(cell, regions)
-    r = regions.withColumn("edges", G.edges(F.col("geom"))).withColumn("_cx", _cells(F.col("minx"), F.col("maxx"), size))
-    r = r.withColumn("_cy", _cells(F.col("miny"), F.col("maxy"), size)).drop("geom")
+    r = regions.withColumns({"edges": G.edges(F.col("geom")), "_box": is_box()}).drop("geom")
+    r = _laid(r, ("minx", "miny", "maxx", "maxy"), size, "geom")
     p = points.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
     pairs = p.join(r, ["_cx", "_cy"]).where("x >= minx and x <= maxx and y >= miny and y <= maxy")
-    return pairs.where(G.point_in(F.col("x"), F.col("y"), F.col("edges"))).drop("edges", "_cx", "_cy", "minx", "miny", "maxx", "maxy")
+    # a region that is its own box needs no other test
+    pairs = pairs.where(F.when(F.col("_box"), True).otherwise(G.point_in(F.col("x"), F.col("y"), F.col("edges"))))
+    return pairs.drop("edges", "_box", "_cx", "_cy", "minx", "miny", "maxx", "maxy")
 
 
 @F.arrow_udf(DoubleType())
@@ -64,7 +80,7 @@ def regions_meeting(values: DataFrame, regions: DataFrame, cell: float | None =
     r = regions.select("region_id", F.col("geom").alias("region_geom"), *(F.col(c).alias(f"r_{c}") for c in ("minx", "miny", "maxx", "maxy")))
     r = r.withColumn("_r_box", is_box("region_geom", "r_"))
     values = values.withColumn("_box", is_box())
-    r = r.withColumn("_cx", _cells(F.col("r_minx"), F.col("r_maxx"), size)).withColumn("_cy", _cells(F.col("r_miny"), F.col("r_maxy"), size))
+    r = _laid(r, ("r_minx", "r_miny", "r_maxx", "r_maxy"), size, "region_geom")
     v = values.withColumn("_cx", _cells(F.col("minx"), F.col("maxx"), size)).withColumn("_cy", _cells(F.col("miny"), F.col("maxy"), size))
     pairs = v.join(r, ["_cx", "_cy"]).where("minx <= r_maxx and maxx >= r_minx and miny <= r_maxy and maxy >= r_miny")
     first = (F.col("_cx") == F.floor(F.greatest("minx", "r_minx") / size)) & (F.col("_cy") == F.floor(F.greatest("miny", "r_miny") / size))
