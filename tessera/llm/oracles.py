@@ -39,9 +39,9 @@ bt AS (SELECT DISTINCT item, x FROM (SELECT item, unnest(w) AS x FROM b WHERE it
 rare AS (SELECT item, x, row_number() OVER (PARTITION BY item ORDER BY freq, x) AS place FROM bt JOIN f USING (x) QUALIFY place <= 3),
 size AS (SELECT item, count(*) AS k FROM rare GROUP BY 1),
 p AS (SELECT doc_id, item, place, i FROM t JOIN rare USING (x)),
-near AS (SELECT a.doc_id, a.item, a.i AS at, e.i, e.place FROM p a JOIN p e ON e.doc_id = a.doc_id AND e.item = a.item AND abs(e.i - a.i) < 20 AND (e.place > 1 OR e.i = a.i) WHERE a.place = 1),
-ends AS (SELECT s.doc_id, s.item, s.at, s.i AS start, e.place, min(e.i) AS i FROM near s JOIN near e ON e.doc_id = s.doc_id AND e.item = s.item AND e.at = s.at AND e.i >= s.i WHERE s.i <= s.at GROUP BY ALL),
-fits AS (SELECT doc_id, item, at FROM (SELECT doc_id, item, at, start, count(*) AS c, max(i) - min(i) AS width FROM ends GROUP BY ALL) JOIN size USING (item) WHERE c = k AND width < 20 GROUP BY ALL),
+near AS (SELECT a.doc_id, a.item, a.i AS spot, e.i, e.place FROM p a JOIN p e ON e.doc_id = a.doc_id AND e.item = a.item AND abs(e.i - a.i) < 20 AND (e.place > 1 OR e.i = a.i) WHERE a.place = 1),
+ends AS (SELECT s.doc_id, s.item, s.spot, s.i AS begin_at, e.place, min(e.i) AS i FROM near s JOIN near e ON e.doc_id = s.doc_id AND e.item = s.item AND e.spot = s.spot AND e.i >= s.i WHERE s.i <= s.spot GROUP BY ALL),
+fits AS (SELECT doc_id, item, spot FROM (SELECT doc_id, item, spot, begin_at, count(*) AS c, max(i) - min(i) AS width FROM ends GROUP BY ALL) JOIN size USING (item) WHERE c = k AND width < 20 GROUP BY ALL),
 prox AS (SELECT doc_id, count(*) AS n_near FROM fits GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN prox USING (doc_id)
