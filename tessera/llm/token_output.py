@@ -75,14 +75,14 @@ class WordCache:
     and white space are a piece of their own, as the tokenizer's split always makes them one. Texts that hold ``<|``
     may name special tokens, whose case counts, and keep their case. Pieces of lower-case Latin letters alone are one
     part for the merges already: the same model encodes them without normalising and splitting. Beyond ``limit``
-    pieces the memory starts anew. One memory serves all tasks of a Python worker.
+    pieces only those of the texts at hand are kept, the common ones among them. One memory serves all tasks of a Python worker.
     """
 
     _OF_WORKER: dict[tuple[str, str], "WordCache"] = {}
     _MARKS = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \t\n\r\x0b\x0c]|$)")
     _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
-    def __init__(self, tokenizer_path: str, width: str, limit: int = 400_000):
+    def __init__(self, tokenizer_path: str, width: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -108,9 +108,10 @@ class WordCache:
             raw = text.encode("utf-8", "surrogatepass")
             split.append((raw if b"<|" in raw else self._MARKS.sub(rb" \1", raw.lower())).split())
         known = self.known
+        wanted = set(chain.from_iterable(split))
         if len(known) > self.limit:
-            known.clear()
-        new = set(chain.from_iterable(split)).difference(known)
+            known = self.known = {p: known[p] for p in wanted.intersection(known)}
+        new = wanted.difference(known)
         plain = [p for p in new if self._LETTERS.fullmatch(p)]
         for tokenizer, some in ((self.letters, plain), (self.tokenizer, list(new.difference(plain)))):
             for p, e in zip(some, tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
