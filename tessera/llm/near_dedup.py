@@ -12,10 +12,10 @@
    that are now connected need no more tests. For buckets that still hold several components, each class gets a
    bitmap of its shingles: those whose bit another class lacks are surely not shared, which bounds the intersection
    from above, so a pair far below the similarity is settled exactly inside the join. What is left is tried against
-   hubs drawn for each bucket. In what remains of a bucket of up to ``PAIRWISE`` classes each pair of different
-   components is tried; in a larger one the pairs that share one of the shingles that are rarest in the bucket: of a
-   set of n, similar ones must share one of the n - ceil(0.8 n) + 1 rarest, so what all classes of the bucket have
-   (boilerplate) makes no pairs. No bucket is capped and no pair that could join two components is left out.
+   hubs drawn for each bucket. In what remains the pairs of different components are tried that share one of the
+   shingles that are rarest in their bucket: of a set of n, similar ones must share one of the n - ceil(0.8 n) + 1
+   rarest, so what all classes of a bucket have (boilerplate) makes no pairs. No bucket is capped and no pair that
+   could join two components is left out.
 4. *Verification.* Exact similarity of the full shingle sets from whole texts, streamed by hub; a hub with many
    members is dealt over several tasks.
 5. *Components* of the verified links (``components.py``).
@@ -38,8 +38,6 @@ from tessera.llm._shared import LOWER, SPACE, byte_words, flat_batches, free_nam
 from tessera.llm.components import connected_components
 
 _FRACTION = np.uint64((1 << 48) - 1)
-#: Open buckets of more classes are searched by their rarest shingles instead of pair by pair.
-PAIRWISE = 200
 #: What makes a class.
 _KEY = ["row_hash", "set_a", "set_b", "n_shingles"]
 
@@ -261,18 +259,13 @@ def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
             pool = pool.join(bits, "rep")
         near = low("n", "hub.n") if step == "central" else f"{low('n', 'hub.n')} and {_may_reach(percent)}"
         fields = [c for c in pool.columns if c not in ("bucket", "weight")]
-        many = None
         if step == "rest":
-            k = pool.groupBy("bucket").agg(F.count("*").alias("k"))
-            few, many = (pool.join(k.where(f"k {op} {PAIRWISE}"), "bucket", "left_semi") for op in ("<=", ">"))
-            found = few.join(few.select("bucket", F.struct(*fields).alias("hub")), "bucket").where(f"part <> hub.part and rep > hub.rep and {near}")
+            pairs = rare_pairs(pool, texts, shingle, percent)
         else:
             by = F.struct("weight", -F.col("rep")) if step == "central" else F.xxhash64("rep", "bucket")
             hub = pool.groupBy("bucket").agg(F.max_by(F.struct(*fields), by).alias("hub"))
             found = pool.join(hub, "bucket").where(f"part <> hub.part and {near}")
-        pairs = found.select(F.col("hub.rep").alias("u"), F.col("rep").alias("v")).distinct()
-        if many is not None and not many.isEmpty():
-            pairs = pairs.union(rare_pairs(many, texts, shingle, percent)).distinct()
+            pairs = found.select(F.col("hub.rep").alias("u"), F.col("rep").alias("v")).distinct()
         if tested is not None:
             both = tested.union(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
             pairs = pairs.join(both, ["u", "v"], "left_anti")

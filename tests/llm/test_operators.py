@@ -541,7 +541,6 @@ def test_groups_in_a_bucket_of_boilerplate(spark, monkeypatch):
         rows[i] = rows[i - 60].replace(f"a{i - 60}_3 ", "other ")
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     want = groups_by_force(rows, 2, 80)
-    monkeypatch.setattr(near_dedup, "PAIRWISE", 5)
     seen = []
     found = near_dedup.rare_pairs
     monkeypatch.setattr(near_dedup, "rare_pairs", lambda *a: seen.append(1) or found(*a))
