@@ -99,14 +99,20 @@ class WordCache:
             cls._OF_WORKER[tokenizer_path, width] = cls(tokenizer_path, width)
         return cls._OF_WORKER[tokenizer_path, width]
 
+    def shrink(self, texts: list[str]) -> None:
+        """Keeps the pieces of some texts only: a worker that waits for its next task holds little."""
+        pieces = set(chain.from_iterable(self._pieces(t) for t in texts))
+        self.known = {p: self.known[p] for p in pieces.intersection(self.known)}
+
+    def _pieces(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass")
+        return (raw if b"<|" in raw else self._MARKS.sub(rb" \1", raw.lower())).split()
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.width == "<u2" else "I"  # machines of Spark's Arrow are little endian
         if not self.by_piece:
             return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        split = []
-        for text in texts:
-            raw = text.encode("utf-8", "surrogatepass")
-            split.append((raw if b"<|" in raw else self._MARKS.sub(rb" \1", raw.lower())).split())
+        split = [self._pieces(t) for t in texts]
         known = self.known
         wanted = set(chain.from_iterable(split))
         if len(known) > self.limit:
@@ -221,6 +227,7 @@ def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
                 for doc_id, ids in zip(ids_of[i:j], cache.encode_all(texts[i:j])):
                     writer.add(doc_id, ids + end)
         if writer is not None:
+            cache.shrink(texts[i:j])
             writer.close()
             sink.close()
             row = {"part": [part], "path": [f"{path}/{name.rpartition('/')[2]}"], "n_docs": [writer.n_docs], "n_ids": [writer.n_ids], "n_bytes": [writer.n_bytes]}
