@@ -12,10 +12,11 @@
    that are now connected need no more tests. For buckets that still hold several components, each class gets a
    bitmap of its shingles: those whose bit another class lacks are surely not shared, which bounds the intersection
    from above, so a pair far below the similarity is settled exactly inside the join. What is left is tried against
-   hubs drawn for each bucket. In what remains the pairs of different components are tried that share one of the
-   shingles that are rarest in their bucket: of a set of n, similar ones must share one of the n - ceil(0.8 n) + 1
-   rarest, so what all classes of a bucket have (boilerplate) makes no pairs. No bucket is capped and no pair that
-   could join two components is left out.
+   hubs drawn for each bucket. A bucket's hub is settled there and leaves it. The classes of buckets that still hold
+   several components are searched together, each listed once: the pairs of different components are tried that share
+   one of their rarest shingles. Of a set of n, similar ones must share one of the n - ceil(0.8 n) + 1 rarest, with
+   enough shingles behind it on both sides, so what many have (boilerplate) makes few pairs. No bucket is capped and no
+   pair that could join two components is left out.
 4. *Verification.* Exact similarity of the full shingle sets from whole texts, streamed by hub; a hub with many
    members is dealt over several tasks.
 5. *Components* of the verified links (``components.py``).
@@ -188,22 +189,28 @@ def class_elements(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def rare_pairs(pool: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(u, v): the pairs of classes of one bucket and different components that share a shingle rare enough in it.
+    """(u, v): the pairs of classes of different components that share a rare enough shingle and may be similar.
 
-    ``pool``: (bucket, rep, n, part). In each bucket a class's shingles are ordered by how many classes have them.
-    Those that no other has come first and can't be shared; of the others only as many are looked up as it takes.
+    ``pool``: (rep, n, part, bits), a row a class. A class's shingles are ordered by how many classes have them, over
+    the whole pool. Those that no other component has come first and can't be shared by a pair; of the others only
+    as many are looked up as it takes.
     """
-    inside = pool.select(F.col("rep").alias("id")).distinct()
-    elements = class_elements(texts.join(inside.hint("merge"), "id", "left_semi"), shingle)
-    rows = materialize(pool.select("bucket", "rep", "n", "part").join(elements, "rep"), "bucket-elements")
-    shared = rows.groupBy("bucket", "element").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("bucket", "rep")
-    rows = rows.join(shared, ["bucket", "element"])
+    elements = class_elements(texts.join(pool.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi"), shingle)
+    rows = materialize(elements.join(pool.select("rep", "n", "part"), "rep"), "class-elements")
+    shared = rows.groupBy("element").agg(F.count("*").alias("df"), F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("element", "df")
+    own = Window.partitionBy("rep")
+    rows = rows.join(shared, "element")
     rows = rows.withColumns({"k": F.count("*").over(own), "place": F.row_number().over(own.orderBy("df", "element"))})
-    rows = rows.where(f"place <= k - ceil({percent} * n / 100) + 1").select("bucket", "element", "rep", "n", "part")
-    other = rows.select("bucket", "element", *(F.col(c).alias(f"o_{c}") for c in ("rep", "n", "part")))
-    found = rows.join(other, ["bucket", "element"]).where(f"part <> o_part and rep > o_rep and 100 * least(n, o_n) >= {percent} * greatest(n, o_n)")
-    return found.select(F.col("o_rep").alias("u"), F.col("rep").alias("v")).distinct()
+    rows = rows.where(f"place <= k - ceil({percent} * n / 100) + 1").select("element", "rep", "n", "part", F.expr("k - place").alias("after"))
+    rows = materialize(rows, "rare-elements")
+    other = rows.select("element", *(F.col(c).alias(f"o_{c}") for c in ("rep", "n", "part", "after")))
+    # of a pair's shared shingles the first in order has all others behind it on both sides
+    enough = f"(100 + {percent}) * (least(after, o_after) + 1) >= {percent} * (n + o_n)"
+    found = rows.join(other, "element").where(f"part <> o_part and rep > o_rep and 100 * least(n, o_n) >= {percent} * greatest(n, o_n) and {enough}")
+    found = materialize(found.select(F.col("o_rep").alias("u"), F.col("rep").alias("v")), "rare-pairs").distinct()
+    side = pool.select("rep", "n", "bits")
+    found = found.join(side.withColumnRenamed("rep", "v"), "v").join(side.select(F.col("rep").alias("u"), F.struct("n", "bits").alias("hub")), "u")
+    return found.where(_may_reach(percent)).select("u", "v")
 
 
 def _may_reach(percent: int) -> str:
@@ -260,11 +267,13 @@ def _linked(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
         near = low("n", "hub.n") if step == "central" else f"{low('n', 'hub.n')} and {_may_reach(percent)}"
         fields = [c for c in pool.columns if c not in ("bucket", "weight")]
         if step == "rest":
-            pairs = rare_pairs(pool, texts, shingle, percent)
+            pairs = rare_pairs(materialize(pool.select(*fields).distinct(), "open-classes"), texts, shingle, percent)
         else:
             by = F.struct("weight", -F.col("rep")) if step == "central" else F.xxhash64("rep", "bucket")
             hub = pool.groupBy("bucket").agg(F.max_by(F.struct(*fields), by).alias("hub"))
-            found = pool.join(hub, "bucket").where(f"part <> hub.part and {near}")
+            pool = pool.join(hub, "bucket")
+            found = pool.where(f"part <> hub.part and {near}")
+            pool = pool.where("rep <> hub.rep").drop("hub")  # a bucket's hub is settled there
             pairs = found.select(F.col("hub.rep").alias("u"), F.col("rep").alias("v")).distinct()
         if tested is not None:
             both = tested.union(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -549,6 +549,26 @@ def test_groups_in_a_bucket_of_boilerplate(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) == 60 and seen
 
 
+def test_rare_shingles_of_a_class_are_listed_once(spark, monkeypatch):
+    """However many open buckets a class is in, its shingles are a row each; a bucket of two needs no second step."""
+    rows = {i: sentence(3, 60) + " " + " ".join(f"a{i}_{k}" for k in range(25)) for i in range(40)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    made, write = {}, near_dedup.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicate_groups(df, shingle=2, slots=96, rows=1).collect()}
+    assert got == groups_by_force(rows, 2, 80)
+    assert 0 < sum(n for name, n in made.items() if name.endswith("-elements")) <= 2 * sum(n for n, _ in got.values())
+    made.clear()
+    got = near_dedup.near_duplicate_groups(df.where("doc_id < 2"), shingle=2, slots=96, rows=1)
+    assert got.count() == 2 and made["open-buckets"] == 0
+
+
 def test_groups_of_an_id_with_several_texts(spark):
     changed = sentence(40, 80).split()
     changed[3] = "changed"
