@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import _INVERSE, _ODD, _powers, flat_batches, materialize, mix64
+from tessera.llm._shared import _INVERSE, _ODD, _powers, flat_batches, let_go, materialize, mix64
 
 GRAM = 16
 _LAST = (1 << 63) - 1
@@ -313,6 +313,12 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, doc_id long, tag long, packed binary")
 
 
+def _candidates(ids: DataFrame, length: int) -> DataFrame:
+    """(doc, at, h, kind, tag) of the anchors that may be repeats, stored."""
+    found = _anchor_rows(ids.select("doc", "text"), length).repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_settle, "doc long, at long, h long, kind int")
+    return materialize(found.withColumn("tag", F.shiftright("at", 40)), "anchors")
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 21) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept_sha256, kept): each document without its repeated bytes.
 
@@ -320,10 +326,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_bytes: int = 1 << 21
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = ids.select(F.coalesce("doc_id", F.lit(_LAST) - F.xxhash64("text").bitwiseAND((1 << 40) - 1)).alias("doc"), "doc_id", "text")
+    found = _candidates(ids, length)
     repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     collect = F.collect_set if repeated else F.collect_list
-    found = _anchor_rows(ids.select("doc", "text"), length).repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_settle, "doc long, at long, h long, kind int")
-    found = materialize(found.withColumn("tag", F.shiftright("at", 40)), "anchors")
+    let_go(docs.sparkSession, now=True)  # the result is read lazily: no later table is written here
     texts = _packed(ids)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

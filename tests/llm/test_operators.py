@@ -6,6 +6,8 @@ import io
 import math
 import re
 import struct
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -481,6 +483,22 @@ def test_index(length):
     assert again != want
 
 
+def test_shuffled_anchors_do_not_stay(spark):
+    """The shuffle of all anchors is off the disks before the contexts are read."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    size = lambda: sum(f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()))
+    spark._jvm.System.gc()
+    time.sleep(3)
+    df = spark.createDataFrame([(i, sentence(i, 3000)) for i in range(100)], "doc_id long, text string")
+    before = size()
+    found = substring_index.remove_repeats(df)
+    for _ in range(20):
+        if (left := size() - before) < 200_000:
+            break
+        time.sleep(0.5)
+    assert left < 200_000 and found.count() == 100
+
+
 def test_repeats_of_rows_without_ids(spark):
     """Rows that share an id, or have none, never mark each other, however many there are."""
     rows = [(None, sentence(i % 40, 30)) for i in range(80)] + [(1, sentence(3, 30)), (1, sentence(4, 30)), (1, sentence(4, 30)), (2, sentence(4, 30))]
