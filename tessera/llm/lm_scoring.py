@@ -92,9 +92,21 @@ def batch_texts(ids: list, packed: bytes) -> list[str]:
     return [raw[e - s : e].decode("utf-8", "surrogatepass") for s, e in zip(sizes.tolist(), ends.tolist())]
 
 
+def rows_of(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[dict]:
+    """The rows of Arrow batches, of which ``size`` at a time become Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, size):
+            yield from b.slice(i, size).to_pylist()
+
+
 def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(document of each word, for each order the hashes of the n-grams that end at each word, and whether there is one)."""
-    words, offsets, _ = byte_words(texts, SPACE, LOWER)
+    words, n_words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in chunks(texts):  # hashing takes some forty bytes a character
+        found, _, counts = byte_words(texts[i:j], SPACE, LOWER)
+        words.append(found)
+        n_words.append(counts)
+    words, offsets = np.concatenate(words), np.concatenate([[0], np.cumsum(np.concatenate(n_words))])
     owner, n = doc_of(offsets), len(words)
     place = np.arange(n) - offsets[:-1][owner]
     hashes, valid = [mix64(words)], [np.ones(n, bool)]
@@ -119,21 +131,20 @@ def _scores(docs: DataFrame, order: int, alpha: float, batch_chars: int, part_ng
     bits = min(31, max(4, math.ceil(math.log2(max(1, order * total / part_ngrams)))))
 
     def explode(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for row in b.to_pylist():
-                _, hashes, valid = ngrams(batch_texts(row["ids"], row["packed"]), order)
-                out: list[tuple] = []
-                for k in range(order):
-                    values, counts = np.unique(hashes[k][valid[k]], return_counts=True)
-                    part = (values >> np.uint64(64 - bits)).astype(np.int64)
-                    begin = np.flatnonzero(np.diff(part, prepend=-1))
-                    # only parts that the batch has n-grams in: no more slices than n-grams, however many parts there are
-                    for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(values)]):
-                        deltas = np.diff(values[i:j], prepend=np.uint64(0))
-                        out.append((int(part[i]), k, row["batch"], j - i, pack_integers(deltas), pack_integers(counts[i:j].astype(np.uint32))))
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], ["part", "k", "batch", "n", "hashes", "counts"])
+        for row in rows_of(rows, 1):
+            _, hashes, valid = ngrams(batch_texts(row["ids"], row["packed"]), order)
+            out: list[tuple] = []
+            for k in range(order):
+                values, counts = np.unique(hashes[k][valid[k]], return_counts=True)
+                part = (values >> np.uint64(64 - bits)).astype(np.int64)
+                begin = np.flatnonzero(np.diff(part, prepend=-1))
+                # only parts that the batch has n-grams in: no more slices than n-grams, however many parts there are
+                for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(values)]):
+                    deltas = np.diff(values[i:j], prepend=np.uint64(0))
+                    out.append((int(part[i]), k, row["batch"], j - i, pack_integers(deltas), pack_integers(counts[i:j].astype(np.uint32))))
+            if out:
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())], ["part", "k", "batch", "n", "hashes", "counts"])
 
     def add_up(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -148,12 +159,11 @@ def _scores(docs: DataFrame, order: int, alpha: float, batch_chars: int, part_ng
             return pa.RecordBatch.from_pydict({"batch": [r["batch"] for r in held], "k": [r["k"] for r in held], "part": [r["part"] for r in held], "n": [r["n"] for r in held], "sums": blobs}, schema)
 
         schema = pa.schema([("batch", pa.string()), ("k", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())])
-        for b in rows:
-            for r in b.to_pylist():
-                if held and (held[0]["part"], held[0]["k"]) != (r["part"], r["k"]):
-                    yield flush()
-                    held = []
-                held.append(r)
+        for r in rows_of(rows, 64):
+            if held and (held[0]["part"], held[0]["k"]) != (r["part"], r["k"]):
+                yield flush()
+                held = []
+            held.append(r)
         if held:
             yield flush()
 
@@ -163,35 +173,34 @@ def _scores(docs: DataFrame, order: int, alpha: float, batch_chars: int, part_ng
     back = sums.groupBy("batch").agg(F.collect_list(F.struct("k", "part", "n", "sums")).alias("sums"))
 
     def score(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for row in b.to_pylist():
-                owner, hashes, valid = ngrams(batch_texts(row["ids"], row["packed"]), order)
-                n_docs, n = len(row["ids"]), len(owner)
-                length = np.bincount(owner, minlength=n_docs)
-                others = []  # for each order: occurrences of the n-gram ending here in other documents
-                for k in range(order):
-                    parts = sorted((s for s in row["sums"] or [] if s["k"] == k), key=lambda s: s["part"])
-                    corpus = np.concatenate([unpack_integers(s["sums"], "u8", s["n"]) for s in parts]) if parts else np.zeros(0, np.uint64)
-                    at = np.flatnonzero(valid[k])
-                    values, where = np.unique(hashes[k][at], return_inverse=True)
-                    _, pair, own = np.unique(owner[at] * max(1, len(values)) + where, return_inverse=True, return_counts=True)
-                    rest = np.zeros(n)
-                    rest[at] = corpus[where].astype(np.float64) - own[pair]
-                    others.append(rest)
-                elsewhere = np.maximum(total - length[owner], 1).astype(np.float64)
-                logs = np.log(np.where(others[0] > 0, others[0], 1.0 / elsewhere) / elsewhere)
-                backed = np.zeros(n, bool)
-                for k in range(1, order):
-                    # the context is the lower n-gram that ends at the word before
-                    context = np.concatenate([[0.0], others[k - 1][:-1]])
-                    seen = valid[k] & (others[k] > 0)
-                    missed = valid[k] & ~seen
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        logs = np.where(seen, np.log(others[k] / context), np.where(missed, logs + math.log(alpha), logs))
-                    backed = np.where(valid[k], missed, backed)
-                sums = np.bincount(owner, weights=logs, minlength=n_docs).astype(np.float64)
-                mean = pa.array(np.divide(sums, length, out=np.zeros(n_docs), where=length > 0), mask=length == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(length.astype(np.int64)), pa.array(sums), mean, pa.array(np.bincount(owner, weights=backed, minlength=n_docs).astype(np.int64))], ["doc_id", "n_words", "log_score", "mean_log", "n_backoff"])
+        for row in rows_of(rows, 1):
+            owner, hashes, valid = ngrams(batch_texts(row["ids"], row["packed"]), order)
+            n_docs, n = len(row["ids"]), len(owner)
+            length = np.bincount(owner, minlength=n_docs)
+            others = []  # for each order: occurrences of the n-gram ending here in other documents
+            for k in range(order):
+                parts = sorted((s for s in row["sums"] or [] if s["k"] == k), key=lambda s: s["part"])
+                corpus = np.concatenate([unpack_integers(s["sums"], "u8", s["n"]) for s in parts]) if parts else np.zeros(0, np.uint64)
+                at = np.flatnonzero(valid[k])
+                values, where = np.unique(hashes[k][at], return_inverse=True)
+                _, pair, own = np.unique(owner[at] * max(1, len(values)) + where, return_inverse=True, return_counts=True)
+                rest = np.zeros(n)
+                rest[at] = corpus[where].astype(np.float64) - own[pair]
+                others.append(rest)
+            elsewhere = np.maximum(total - length[owner], 1).astype(np.float64)
+            logs = np.log(np.where(others[0] > 0, others[0], 1.0 / elsewhere) / elsewhere)
+            backed = np.zeros(n, bool)
+            for k in range(1, order):
+                # the context is the lower n-gram that ends at the word before
+                context = np.concatenate([[0.0], others[k - 1][:-1]])
+                seen = valid[k] & (others[k] > 0)
+                missed = valid[k] & ~seen
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    logs = np.where(seen, np.log(others[k] / context), np.where(missed, logs + math.log(alpha), logs))
+                backed = np.where(valid[k], missed, backed)
+            sums = np.bincount(owner, weights=logs, minlength=n_docs).astype(np.float64)
+            mean = pa.array(np.divide(sums, length, out=np.zeros(n_docs), where=length > 0), mask=length == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(length.astype(np.int64)), pa.array(sums), mean, pa.array(np.bincount(owner, weights=backed, minlength=n_docs).astype(np.int64))], ["doc_id", "n_words", "log_score", "mean_log", "n_backoff"])
 
     joined = batches.select("batch", "ids", "packed").join(back.hint("merge"), "batch", "left").select("ids", "packed", "sums")
     return joined.mapInArrow(score, "doc_id long, n_words long, log_score double, mean_log double, n_backoff long")

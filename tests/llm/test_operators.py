@@ -230,6 +230,19 @@ def test_backoff(docs, texts, order):
     assert got[15].mean_log is None
 
 
+def test_words_of_a_batch_take_little_memory():
+    """Words are hashed by chunks of a batch, with the same hashes."""
+    texts = [sentence(i, 2000) for i in range(300)]
+    whole = lm_scoring.byte_words(texts, lm_scoring.SPACE, lm_scoring.LOWER)
+    tracemalloc.start()
+    owner, hashes, _ = lm_scoring.ngrams(texts, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (hashes[0] == lm_scoring.mix64(whole[0])).all() and (np.bincount(owner) == whole[2]).all()
+    assert peak < 20 * sum(map(len, texts))
+    assert [a.tolist() for a in lm_scoring.ngrams([], 2)[1]] == [[], []]
+
+
 def test_backoff_of_odd_tables(odd, empty):
     assert lm_scoring.score_documents(odd).count() == 6 and lm_scoring.score_documents(empty).count() == 0
 
