@@ -11,6 +11,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -345,6 +346,31 @@ def test_passages_of_families(spark, n_variants, changes, near):
     assert all(r.n_dup <= 60 for r in got.values())
 
 
+def test_large_families_hide_nothing(spark):
+    """A near copy found beside its source alone is found among 149 other variants too."""
+    rows, asked = families(10, 150, 2, True)
+    only = {*asked, *asked.values()}
+    counts = []
+    for some in (rows, [r for r in rows if r[0] in only]):
+        got = table(passages.near_duplicate_passages(spark.createDataFrame(some, "doc_id long, text string").repartition(4)))
+        counts.append({i for i, j in asked.items() if got[i].n_dup >= 50 and got[i].class_id == got[j].class_id})
+    assert counts[1] <= counts[0] and len(counts[1]) >= 9
+
+
+def test_pairs_of_classes_by_force():
+    rng = np.random.default_rng(6)
+    key, label, known = np.sort(rng.integers(0, 9, 300)), rng.integers(0, 4, 300), rng.integers(0, 3, 300) > 0
+    order = np.lexsort((label, ~known, key))
+    key, label, known = key[order], label[order], known[order]
+    want = {(i, j) for i in range(300) for j in range(i) if key[i] == key[j] and not (known[i] and known[j] and label[i] == label[j])}
+    got = [p for x, y in passages._pairs_of_classes(key, label, known, 100) for p in zip(x.tolist(), y.tolist())]
+    assert len(got) == len(want) and set(got) == want
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(300)), pa.array(np.arange(300)), pa.array(label, mask=~known)], ["key", "doc", "place", "label"])
+    for size in (300, 7):
+        given = [p for b in passages._rest(rows.slice(i, size) for i in range(0, 300, size)) for p in zip(*(c.to_pylist() for c in b.columns[:2]))]
+        assert len(given) == len(want) and set(given) == want
+
+
 def test_tries_of_windows_by_force():
     """Small groups: every pair of classes; whatever the sizes of the chunks."""
     rng = np.random.default_rng(5)
