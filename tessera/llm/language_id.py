@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import flat_batches
+from tessera.llm._shared import flat_batches, lean
 
 BUCKETS = 1 << 13
 _AS = np.arange(256, dtype=np.uint8)
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, smoothing: float = 0.5, **options) -> LanguageModel
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(lean(count), "lang string, bucket long, n long")
     found = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique())
     counts = np.zeros((BUCKETS, len(languages)))
@@ -159,4 +159,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
             keep = [f[0] != "und" and f[4] > 0 for f in found] if model.languages else [has_letter(t) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import free_names, materialize
+from tessera.llm._shared import free_names, give_back, materialize
 from tessera.llm.decontamination import words_of
 
 
@@ -114,6 +114,7 @@ def fit_rates(members: DataFrame, targets: list[float], total: float | None = No
             break
         pulls.append(_solve(gram, gap))
         rate = _rate(pulls, start, least)
+        give_back(members.sparkSession)
         row = members.agg(*(F.sum(rows * rate * a[k]).alias(f"t{k}") for k in size)).first()
         reached = [row[f"t{k}"] or 0.0 for k in size]
     return members.withColumn("rate", rate), goal, reached

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import LOWER, SPACE, byte_words, flat_batches, free_names, materialize, mix64, shingles, temporary_tables
+from tessera.llm._shared import LOWER, SPACE, byte_words, flat_batches, free_names, lean, materialize, mix64, shingles, temporary_tables
 from tessera.llm.components import connected_components
 
 _FRACTION = np.uint64((1 << 48) - 1)
@@ -117,7 +117,7 @@ def signature_table(docs: DataFrame, shingle: int = 5, slots: int = 96, rows: in
                 )
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    return rows_in.mapInArrow(run, "doc_id long, row_hash long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return rows_in.mapInArrow(lean(run), "doc_id long, row_hash long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def verify_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, per_task: int = 256) -> DataFrame:
@@ -152,7 +152,7 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int,
                         right.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
-    return rows.select("u", "salt", "member", "id", "text").mapInArrow(run, "u long, v long")
+    return rows.select("u", "salt", "member", "id", "text").mapInArrow(lean(run), "u long, v long")
 
 
 def shingle_bits(texts: DataFrame, shingle: int, bits: int = 4096) -> DataFrame:
@@ -170,7 +170,7 @@ def shingle_bits(texts: DataFrame, shingle: int, bits: int = 4096) -> DataFrame:
                 rows = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * longs.shape[1], pa.array(longs.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), rows], ["rep", "bits"])
 
-    return texts.select("id", "text").mapInArrow(run, "rep long, bits array<long>")
+    return texts.select("id", "text").mapInArrow(lean(run), "rep long, bits array<long>")
 
 
 def class_elements(texts: DataFrame, shingle: int) -> DataFrame:
@@ -185,7 +185,7 @@ def class_elements(texts: DataFrame, shingle: int) -> DataFrame:
                 v, owner = distinct_sets(*shingles(hashes, offsets, shingle), len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(v.view(np.int64))], ["rep", "element"])
 
-    return texts.select("id", "text").mapInArrow(run, "rep long, element long")
+    return texts.select("id", "text").mapInArrow(lean(run), "rep long, element long")
 
 
 def rare_pairs(pool: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -322,7 +322,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, slots
     whose other columns have the smallest hash stays. Rows without an id or without words stay.
     """
     spark = docs.sparkSession
-    d, h, n = free_names(docs, "_d", "_h", "_n")
+    d, h, n, k, word, bits = free_names(docs, "_d", "_h", "_n", "_k", "_word", "_bits")
     with temporary_tables(spark) as keep:
         signed = materialize(signature_table(docs, shingle, slots, rows), "signatures")
         classes, _ = _classes(signed)
@@ -334,7 +334,12 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, slots
         gone = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", "row_hash").distinct().join(stays, ["doc_id", "row_hash"], "left_anti")
         gone = keep(gone.select(F.col("doc_id").alias(d), F.col("row_hash").alias(h)), "near-duplicates")
     same = (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(h))
-    kept = docs.join(gone, same, "left_anti")
+    # a map of 2^24 bits of the rows that may go, whatever the data: other texts need no exact join and no shuffle
+    place = lambda i, t: F.pmod(F.xxhash64(i, t), F.lit(1 << 24))
+    marks = gone.select(place(F.col(d), F.col(h)).alias(k)).groupBy(F.shiftright(k, 6).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({k} & 63 as int)))").alias(bits))
+    flagged = docs.withColumn(k, place(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(F.broadcast(marks), F.shiftright(k, 6) == F.col(word), "left")
+    marked = F.coalesce(F.expr(f"(shiftright({bits}, cast({k} & 63 as int)) & 1) = 1"), F.lit(False))
+    kept = flagged.where(~marked).select(docs.columns).union(flagged.where(marked).select(docs.columns).join(gone, same, "left_anti"))
     twice = materialize(repeated_rows(docs).select(F.col("doc_id").alias(d), F.col("row_hash").alias(h)), "repeated-rows")
     if twice.isEmpty():
         return kept

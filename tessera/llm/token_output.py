@@ -14,7 +14,9 @@ the documents asked for; each frame's checksum is held against its content.
 
 Writing: documents are dealt by ranges of ``doc_id`` (ties by text hash) and each task streams its sorted rows
 into one file under a name of its own, so a task that is run again never touches the files of another attempt.
-The manifest is a table that Spark commits: only files of successful attempts are in it.
+What is dealt are compressed texts, and a row that repeats the one before it only counts as one more copy: the copy
+is encoded once, but written as often as it is there. The manifest is a table that Spark commits: only files of
+successful attempts are in it.
 
 Defined results: a null text counts as empty (its ids are just the end id); a null doc_id sorts first and is
 kept; repeated rows are each written; an empty table gives an empty manifest; extra columns are ignored.
@@ -41,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import chunks, materialize, new_path, string_list
+from tessera.llm._shared import flat_batches, materialize, new_path
 
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 INDEX_ENTRY = struct.Struct("<BqQQQ")
@@ -78,7 +80,7 @@ class WordCache:
     pieces only those of the texts at hand are kept, the common ones among them. One memory serves all tasks of a Python worker.
     """
 
-    _OF_WORKER: dict[tuple[str, str], "WordCache"] = {}
+    _OF_WORKER: dict[tuple[str, int], "WordCache"] = {}
     _MARKS = re.compile(rb"([!-/:-@\[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*)(?=[ \t\n\r\x0b\x0c]|$)")
     _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
@@ -94,10 +96,13 @@ class WordCache:
             self.by_piece = splits_at_spaces(json.load(f))
 
     @classmethod
-    def of_worker(cls, tokenizer_path: str, width: str) -> WordCache:
-        if (tokenizer_path, width) not in cls._OF_WORKER:
-            cls._OF_WORKER[tokenizer_path, width] = cls(tokenizer_path, width)
-        return cls._OF_WORKER[tokenizer_path, width]
+    def of_worker(cls, tokenizer_path: str, end_id: int) -> WordCache:
+        """The worker's own, with ids as wide as the vocabulary needs."""
+        if (tokenizer_path, end_id) not in cls._OF_WORKER:
+            cache = cls._OF_WORKER[tokenizer_path, end_id] = cls(tokenizer_path, "<u4")
+            if max(cache.tokenizer.get_vocab_size(True), end_id + 1) <= 1 << 16:
+                cache.width = "<u2"
+        return cls._OF_WORKER[tokenizer_path, end_id]
 
     def shrink(self, texts: list[str]) -> None:
         """Keeps the pieces of some texts only: a worker that waits for its next task holds little."""
@@ -139,16 +144,17 @@ class FrameWriter:
         self.sink.write(raw)
         self.n_bytes += len(raw)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        first = len(self.frames)
-        for i in range(0, len(ids), self.frame_bytes):
-            part = ids[i : i + self.frame_bytes]
-            packed = self.packer.compress(part)
-            self.frames.append((len(packed), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF))
-            self.put(packed)
-        self.index += INDEX_ENTRY.pack(doc_id is not None, doc_id or 0, len(ids) // self.width, first, len(self.frames) - first)
-        self.n_docs += 1
-        self.n_ids += len(ids) // self.width
+    def add(self, doc_id: int | None, ids: bytes, copies: int = 1) -> None:
+        parts = [ids[i : i + self.frame_bytes] for i in range(0, len(ids), self.frame_bytes)]
+        packed = [self.packer.compress(part) for part in parts]
+        frames = [(len(p), len(part), xxhash.xxh64_intdigest(part) & 0xFFFFFFFF) for p, part in zip(packed, parts)]
+        for _ in range(copies):
+            self.index += INDEX_ENTRY.pack(doc_id is not None, doc_id or 0, len(ids) // self.width, len(self.frames), len(frames))
+            self.frames += frames
+            for p in packed:
+                self.put(p)
+        self.n_docs += copies
+        self.n_ids += copies * (len(ids) // self.width)
 
     def close(self) -> None:
         body = bytes([self.width]) + bytes(self.index)
@@ -198,48 +204,66 @@ class FrameReader:
         return np.frombuffer(b"".join(parts), dtype=self.width)
 
 
+def pack_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, tie, copies, packed): compressed texts; a row that repeats the one before it is one of its copies."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch, texts in flat_batches(batches):
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts))
+            first = [k for k, row in enumerate(rows) if not k or row != rows[k - 1]]
+            raws = [texts[k].encode("utf-8", "surrogatepass") for k in first]
+            cols = [*(batch.column(i).take(pa.array(first)) for i in range(2)), pa.array(np.diff([*first, len(rows)])), pa.array([packer.compress(r) for r in raws], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "copies", "packed"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(run, "doc_id long, tie long, copies long, packed binary")
+
+
+def unpacked(batches: Iterable[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[tuple[list[int | None], list[int], list[str]]]:
+    """(ids, copies, texts) of the rows (doc_id, copies, packed), about ``limit`` characters at a time, whole texts each."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        ids, copies = (batch.column(i).to_pylist() for i in range(2))
+        begin, size, texts = 0, 0, []
+        for k, packed in enumerate(batch.column(2)):
+            texts.append(unpack.decompress(packed.as_buffer()).decode("utf-8", "surrogatepass"))
+            size += len(texts[-1]) + 1
+            if size >= limit or k + 1 == batch.num_rows:
+                yield ids[begin : k + 1], copies[begin : k + 1], texts
+                begin, size, texts = k + 1, 0, []
+
+
 def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, frame_ids: int = 1 << 24, level: int = 3) -> DataFrame:
     """Encodes every whole text and writes the ids in ascending doc_id order; returns the manifest.
 
     The manifest has one row a file, in order of ``part``; it holds (part, path, n_docs, n_ids, n_bytes) and is a
     table under the shared folder. ``path``: folder of the files (default: a new one in the shared folder).
     """
-    spark = docs.sparkSession
-    path = path or new_path(spark, "token-files")
-    from tokenizers import Tokenizer
-
-    width = "<u2" if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(True), end_id + 1) <= 1 << 16 else "<u4"
+    path = path or new_path(docs.sparkSession, "token-files")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(path)
         writer = sink = name = cache = end = None
-        for batch in batches:
-            texts, ids_of = string_list(batch.column(1)), batch.column(0).to_pylist()
-            for i, j in chunks(texts, 1_000_000):
-                if writer is None:
-                    cache = WordCache.of_worker(tokenizer_path, width)
-                    end = np.array([end_id], dtype=width).tobytes()
-                    part = TaskContext.get().partitionId()
-                    fs.create_dir(folder, recursive=True)
-                    name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
-                    sink = fs.open_output_stream(name, compression=None)
-                    writer = FrameWriter(sink, width, frame_ids, level)
-                for doc_id, ids in zip(ids_of[i:j], cache.encode_all(texts[i:j])):
-                    writer.add(doc_id, ids + end)
+        for doc_ids, copies, texts in unpacked(batches):
+            if writer is None:
+                cache = WordCache.of_worker(tokenizer_path, end_id)
+                end = np.array([end_id], dtype=cache.width).tobytes()
+                part = TaskContext.get().partitionId()
+                fs.create_dir(folder, recursive=True)
+                name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
+                sink = fs.open_output_stream(name, compression=None)
+                writer = FrameWriter(sink, cache.width, frame_ids, level)
+            for doc_id, n, ids in zip(doc_ids, copies, cache.encode_all(texts)):
+                writer.add(doc_id, ids + end, n)
         if writer is not None:
-            cache.shrink(texts[i:j])
+            cache.shrink(texts)
             writer.close()
             sink.close()
             row = {"part": [part], "path": [f"{path}/{name.rpartition('/')[2]}"], "n_docs": [writer.n_docs], "n_ids": [writer.n_ids], "n_bytes": [writer.n_bytes]}
             yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
 
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .withColumn("_tie", F.xxhash64("text"))
-        .repartitionByRange(F.col("doc_id"), F.col("_tie"))
-        .sortWithinPartitions("doc_id", "_tie")
-        .select("doc_id", "text")
-    )
+    ordered = pack_rows(docs).repartitionByRange(F.col("doc_id"), F.col("tie")).sortWithinPartitions("doc_id", "tie").select("doc_id", "copies", "packed")
     return materialize(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 

@@ -9,6 +9,7 @@ import struct
 import time
 import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, passages, queries, substring_index, token_output, toxicity
+from tessera.llm import _shared, components, decontamination, fingerprints, language_id, lm_scoring, mixing, near_dedup, passages, queries, substring_index, token_output, toxicity
 
 from .conftest import SCHEMA, sentence
 
@@ -637,6 +638,21 @@ def test_groups_of_an_id_with_several_texts(spark):
     assert kept == sorted([(3, rows[4][1]), (5, rows[1][1]), (7, ""), (7, rows[6][1])])
 
 
+def test_texts_that_stay_are_not_shuffled(spark, docs, texts):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for tables of any size
+    try:
+        kept = near_dedup.keep_one_of_each(docs)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        rows = kept.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert "LeftOuter, BuildRight" in plan and plan.count("LeftAnti") == 1  # the exact join is behind the map of what may go
+    groups = groups_by_force(texts, 5, 80)
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, (_, c) in groups.items() if c == i)
+
+
 def test_groups_of_odd_tables(odd, empty, docs):
     got = near_dedup.near_duplicate_groups(odd, shingle=2)
     assert got.count() == 6 and got.where("doc_id is null and component_id is null and kept").count() == 2
@@ -753,6 +769,23 @@ def test_token_files(spark, docs, texts, odd, empty):
     assert token_output.read_digests(token_output.write_documents(empty, path, 2)).count() == 0
 
 
+def test_copies_are_dealt_once_and_written_each(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    rows = [(5, sentence(5, 4000))] * 3 + [(5, sentence(6, 9)), (None, None), (None, ""), (5, sentence(5, 4000)), (1, "a"), (1, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed = token_output.pack_rows(docs).collect()
+    assert [(r.doc_id, r.copies) for r in packed] == [(5, 3), (5, 1), (None, 1), (None, 1), (5, 1), (1, 2)]
+    assert len(packed[0].packed) < len(rows[0][1]) / 2
+    got = token_output.read_documents(token_output.write_documents(docs, path, 2)).orderBy("start").collect()
+    want = [(i, tok.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows]
+    assert sorted(((r.doc_id or 0, r.ids) for r in got)) == sorted((i or 0, ids) for i, ids in want)
+    assert [r.doc_id for r in got] == [None, None, 1, 1, 5, 5, 5, 5, 5]
+    assert [r.start for r in got] == [sum(len(x.ids) for x in got[:k]) for k in range(len(got))]
+
+
 def test_other_tokenizers_get_whole_texts(spark):
     from tokenizers import Tokenizer
 
@@ -788,6 +821,35 @@ def test_frames():
         token_output.FrameReader(io.BytesIO(bytes(bad))).ids(0)
 
 
+def test_the_driver_gives_memory_back_and_needs_no_tokenizer(spark, monkeypatch):
+    calls = []
+    heap = lambda total: SimpleNamespace(totalMemory=lambda: total, maxMemory=lambda: 100)
+    for total in (50, 51, 99):
+        jvm = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap(total)), System=SimpleNamespace(gc=lambda: calls.append(total)))
+        _shared.give_back(SimpleNamespace(_jvm=jvm))
+    assert calls == [51, 99]
+    import tokenizers
+
+    docs, path = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), queries.tokenizer_path()
+    monkeypatch.setattr(tokenizers, "Tokenizer", None)  # here, not in the workers
+    assert token_output.write_documents(docs, path, 2).count() == 1
+
+
+def test_a_worker_gives_memory_back_after_its_task(monkeypatch):
+    at = []
+    monkeypatch.setattr(_shared, "release", lambda: at.append("released"))
+    for x in _shared.lean(lambda batches: (2 * b for b in batches))([1, 2]):
+        at.append(x)
+    assert at == [2, 4, "released"]
+    monkeypatch.undo()
+    held = [b"x" * (100_000 + i) for i in range(1000)]  # too small to be mapped alone: only trimming frees them
+    size = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1])
+    before, last = size(), held.pop()
+    del held
+    _shared.release()
+    assert size() < before - 80_000 and last
+
+
 # -- streams that carry state from one Arrow batch to the next --------------------------------------------------------
 
 
