@@ -358,6 +358,52 @@ def test_large_families_hide_nothing(spark):
     assert counts[1] <= counts[0] and len(counts[1]) >= 9
 
 
+def test_tries_are_on_disk_by_slices(spark, monkeypatch):
+    """However large the groups, few tries are stored at a time, and the result is that of one slice."""
+    docs = spark.createDataFrame(families(2, 150, 2, True)[0], "doc_id long, text string").repartition(4)
+    whole, tried, store = table(passages.near_duplicate_passages(docs)), [], passages.materialize
+
+    def materialize(df, name):
+        out = store(df, name)
+        if name == "tries":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "materialize", materialize)
+    monkeypatch.setattr(passages, "_TRIES", 40000, raising=False)
+    monkeypatch.setattr(passages, "_TRIES_A_ROW", 0, raising=False)
+    assert table(passages.near_duplicate_passages(docs)) == whole
+    assert sum(tried) > 100000 and max(tried) < 60000
+
+
+def test_texts_are_shipped_once_for_many_pairs(spark):
+    """Pairs of a clique, of a hub with many copies and lone ones: all are dealt, with far fewer texts than pairs."""
+    pairs = {(u, v) for v in range(300) for u in range(v)} | {(1000, v) for v in range(1001, 3000)} | {(u, u + 1) for u in range(5000, 5100, 2)}
+    df = spark.createDataFrame([(u, v, [1, 2]) for u, v in pairs], "u long, v long, w array<long>")
+    got = passages._dealt(df).collect()
+    assert len(got) == len(pairs) and {(r.u, r.v) for r in got} == pairs
+    cells = {}
+    for r in got:
+        cells.setdefault(r.cell, []).append(r)
+    assert sum(len({r.u for r in c}) + len({r.v for r in c}) for c in cells.values()) < len(pairs) / 5
+    assert max(len(c) for c in cells.values()) < 20000 and max(len({r.v for r in c}) for c in cells.values() if c[0].u == 1000) < 400
+
+
+def test_passages_do_not_depend_on_the_order_of_windows():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        a = rng.integers(0, 400, 300).astype(np.uint64)
+        b = a[20:].copy()
+        b[rng.integers(0, len(b), 25)] = 999
+        c = np.flatnonzero(np.isin(a, b))[:60]
+        c2 = np.array([rng.choice(np.flatnonzero(b == a[i])) for i in c])
+        mine = {"i": rng.integers(0, 5, len(c)), "l": np.maximum(c - 60, 0), "c": c, "r": c + 60, "l2": np.maximum(c2 - 60, 0), "c2": c2, "r2": c2 + 60}
+        got = []
+        for order in (np.arange(len(c)), rng.permutation(len(c)), np.arange(len(c))[::-1]):
+            got.append(passages._confirm(a, b, np.unique(b), {f: x[order] for f, x in mine.items()}, 2, 46, 0.8))
+        assert got[0] == got[1] == got[2]
+
+
 def test_pairs_of_classes_by_force():
     rng = np.random.default_rng(6)
     key, label, known = np.sort(rng.integers(0, 9, 300)), rng.integers(0, 4, 300), rng.integers(0, 3, 300) > 0
